@@ -6,8 +6,8 @@ The corpus doesn't fit one suffix array, so matches are first brought together b
 somewhere and occur twice matter, each with the 150 bytes before and 200 bytes after its start: its segment.
 
 Equal segments of one anchor form a class, by pre-aggregation; copies need no further comparison. Where an anchor has
-several classes, one representative of each is compared: a suffix array over the representatives, its LCP array, and
-from previous and next smaller positions in suffix order the longest previous factor of every string start (and, with
+several classes, one representative of each is compared: their string starts in suffix order, the LCP array, and from
+previous and next smaller positions in suffix order the longest previous factor of every string start (and, with
 the order reversed, the longest later one). Anchors with more than `group_rows` classes are divided over tasks by a hash;
 string starts that find no match in their own part are then counted, by hash, over all parts.
 
@@ -23,13 +23,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import RangeHash, blocks, repeat_ranges, written
+from .common import RangeHash, blocks, mixed, repeat_ranges, written
 
 LENGTH = 200
 GRAM = 50
 GROUP_ROWS = 20_000
 #: Bytes of segments for which a task builds one suffix array, but for larger groups.
-ARRAY_BYTES = 4 << 20
+ARRAY_BYTES = 1 << 20
+#: Bytes of text in which anchors are looked for at once.
+BLOCK = 1 << 20
 #: Stands for a missing key: before all others.
 NO_KEY = -(1 << 63)
 
@@ -73,42 +75,6 @@ def anchors(data: np.ndarray, at: np.ndarray, length: int = LENGTH, gram: int =
     return doc, pos, left, right, h[where], segment
 
 
-def suffix_ranks(data: np.ndarray) -> dict[int, np.ndarray]:
-    """Ranks of the 8, 16, 32, 64 and 128 bytes from each position, by prefix doubling; zeros follow the end."""
-    n = len(data)
-    wide = np.concatenate((data, np.zeros(8, np.uint8))).astype(np.uint64)
-    code = np.zeros(n, np.uint64)
-    for k in range(8):
-        code = code << np.uint64(8) | wide[k : n + k]
-    ranks, size = {}, 8
-    while True:
-        order = np.argsort(code, kind="stable")
-        s = code[order]
-        rank = np.empty(n, np.uint64)
-        rank[order] = np.cumsum(np.append(False, s[1:] != s[:-1])).astype(np.uint64)
-        ranks[size] = rank
-        if size == 128:
-            return ranks
-        shifted = np.zeros(n, np.uint64)
-        shifted[: max(0, n - size)] = rank[size:] + np.uint64(1)
-        code = rank << np.uint64(32) | shifted
-        size *= 2
-
-
-def common_prefix(data: np.ndarray, ranks: dict[int, np.ndarray], a: np.ndarray, b: np.ndarray, most: np.ndarray) -> np.ndarray:
-    """Common bytes from positions a and b, up to `most` (255 at the highest)."""
-    out, n = np.zeros(len(a), np.int64), len(data)
-    for size in (128, 64, 32, 16, 8):
-        i, j = a + out, b + out
-        fits = np.maximum(i, j) < n
-        same = fits & (ranks[size][np.minimum(i, n - 1)] == ranks[size][np.minimum(j, n - 1)])
-        out += size * same
-    for _ in range(7):
-        i, j = a + out, b + out
-        out += (np.maximum(i, j) < n) & (data[np.minimum(i, n - 1)] == data[np.minimum(j, n - 1)])
-    return np.minimum(out, most)
-
-
 def previous_factors(lcp: np.ndarray, place: np.ndarray) -> np.ndarray:
     """Longest previous factor of each suffix, in suffix order: the common prefix with the nearest suffix before or after
     it in that order whose place in the corpus is smaller. lcp[i] is that of suffixes i - 1 and i (lcp[0] = 0)."""
@@ -149,27 +115,33 @@ def previous_factors(lcp: np.ndarray, place: np.ndarray) -> np.ndarray:
 
 def matched_starts(group: np.ndarray, segments: np.ndarray, offsets: np.ndarray, place: np.ndarray, length: int = LENGTH):
     """Segments as bytes and offsets, each with its group and the place of its first byte in the corpus. For every
-    string start: segment, start in it, whether an earlier one in its group is equal, whether a later one is."""
+    string start: segment, start in it, whether an earlier one in its group is equal, whether a later one is.
+
+    Strings that are unique in their group drop out first, by fingerprints. The rest stand in suffix order: by their
+    first 16 bytes and then by fingerprints of all `length` bytes, so that equal strings are neighbours."""
     sizes = np.diff(offsets)
     count = np.maximum(sizes - length + 1, 0)
-    owner = np.repeat(np.arange(len(sizes)), count)
+    owner = np.repeat(np.arange(len(sizes), dtype=np.int32), count)
     start = repeat_ranges(offsets[:-1], count)
-    if not len(start):
-        return owner, start, np.zeros(0, bool), np.zeros(0, bool)
-    ranks = suffix_ranks(segments)
     inner = start - offsets[owner]
-    rest = length - 128
-    # Suffix order within each group, by the first `length` bytes.
-    first, second = ranks[128][start], ranks[128][start + rest]
-    order = np.lexsort((second, first, group[owner]))
-    s, o = start[order], owner[order]
-    most = np.minimum(offsets[o + 1] - s, 255)
-    lcp = np.zeros(len(s), np.int64)
-    lcp[1:] = common_prefix(segments, ranks, s[:-1], s[1:], np.minimum(most[:-1], most[1:]))
-    lcp[1:][group[o[1:]] != group[o[:-1]]] = 0
-    lcp[lcp < length] = 0  # shorter ones decide nothing
-    where = place[o] + inner[order]
-    earlier, later = np.zeros(len(s), bool), np.zeros(len(s), bool)
+    earlier, later = np.zeros(len(start), bool), np.zeros(len(start), bool)
+    if not len(start):
+        return owner, inner, earlier, later
+    with np.errstate(over="ignore"):
+        print_ = mixed(RangeHash(segments).of(start, start + length) + group[owner].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    ordered = np.sort(print_)
+    twice = ordered[1:][ordered[1:] == ordered[:-1]]
+    if not len(twice):
+        return owner, inner, earlier, later
+    at = np.searchsorted(twice, print_)
+    live = np.flatnonzero(twice[np.minimum(at, len(twice) - 1)] == print_)
+    code = np.zeros((2, len(live)), np.uint64)
+    for k in range(16):
+        code[k // 8] = code[k // 8] << np.uint64(8) | segments[start[live] + k]
+    order = live[np.lexsort((print_[live], code[1], code[0], group[owner[live]]))]
+    p = print_[order]
+    lcp = np.append(0, np.where(p[1:] == p[:-1], length, 0))
+    where = place[owner[order]] + inner[order]
     earlier[order] = previous_factors(lcp, where) >= length
     later[order] = previous_factors(lcp, -where) >= length
     return owner, inner, earlier, later
@@ -195,7 +167,7 @@ def _anchor_rows(docs: DataFrame, length: int, gram: int) -> DataFrame:
     def found(batches):
         for batch in batches:
             k, t = (batch.column(i).to_numpy() for i in (0, 1))
-            for a, _, data, at in blocks(batch.column(2)):
+            for a, _, data, at in blocks(batch.column(2), BLOCK):
                 hit = anchors(data, at, length, gram) if len(data) else None
                 if hit is None:
                     continue
@@ -216,17 +188,16 @@ def _compared(classes: DataFrame, docs: DataFrame, length: int, group_rows: int)
             lists = batch.column("w")
             fields = {f: lists.values.field(f).to_numpy() for f in ("spot", "gram", "seg", "c")}
             ends = lists.offsets.to_numpy()
-            texts = batch.column("text").to_pylist()
-            for i, text in enumerate(texts):
-                raw = text.encode("utf-8")
-                own = slice(ends[i], ends[i + 1])
-                spot = fields["spot"][own]
+            texts = batch.column("text")
+            for a in range(0, len(batch), 32):
+                rows = slice(ends[a], ends[min(a + 32, len(batch))])
+                spot, gram, seg, c = (fields[f][rows] for f in ("spot", "gram", "seg", "c"))
                 pos, left, right = spot >> 20, spot >> 10 & 1023, spot & 1023
-                pieces = [raw[p - x : p + y] for p, x, y in zip(pos.tolist(), left.tolist(), right.tolist())]
-                gram, seg, c = (fields[f][own] for f in ("gram", "seg", "c"))
+                own = np.repeat(np.arange(len(batch)), np.diff(ends))[rows]
+                raws = [x.encode("utf-8") for x in texts.slice(a, 32).to_pylist()]
+                pieces = [raws[i][p - x : p + y] for i, p, x, y in zip((own - a).tolist(), pos.tolist(), left.tolist(), right.tolist())]
                 part = seg.view(np.uint64) % ((c.astype(np.uint64) + np.uint64(group_rows - 1)) // np.uint64(group_rows))
-                n = len(pieces)
-                yield pa.record_batch([pa.array(gram), pa.array(seg), pa.array(part.astype(np.int64)), pa.array(c), pa.array(np.full(n, k[i])), pa.array(np.full(n, t[i])), pa.array(pos - left), pa.array(pieces, pa.binary())], names=["gram", "seg", "part", "c", "k", "t", "begin", "bytes"])
+                yield pa.record_batch([pa.array(gram), pa.array(seg), pa.array(part.astype(np.int64)), pa.array(c), pa.array(k[own]), pa.array(t[own]), pa.array(pos - left), pa.array(pieces, pa.binary())], names=["gram", "seg", "part", "c", "k", "t", "begin", "bytes"])
 
     cuts = docs.join(wanted, ["k", "t"]).select("k", "t", "text", "w").mapInArrow(cut, "gram long, seg long, part long, c long, k long, t long, begin long, bytes binary")
 
@@ -315,7 +286,9 @@ def remove_repeated_passages(docs: DataFrame, text: str = "text", key: str = "do
     With whole_characters, runs shrink to whole characters."""
     if not 128 <= length <= 255 or not 8 <= gram <= length:
         raise ValueError("strings have 128 to 255 bytes, grams 8 bytes at least and no more than a string")
-    known = docs.withColumns({"_k": F.coalesce(F.col(key).cast("long"), F.lit(NO_KEY)), "_t": F.xxhash64(text)})
+    # Rows are known by a hash of key and text; the key itself is carried where the order of rows matters.
+    first = F.coalesce(F.col(key).cast("long"), F.lit(NO_KEY)) if keep == "first" else F.lit(0).cast("long")
+    known = docs.withColumns({"_k": first, "_t": F.xxhash64(key, text)})
     lean = known.select(F.col("_k").alias("k"), F.col("_t").alias("t"), F.col(text).alias("text"))
     runs = duplicate_runs(lean, keep, length, gram, group_rows).groupBy("k", "t").agg(F.sort_array(F.collect_list(F.struct("lo", "hi"))).alias("_runs"))
     joined = known.join(runs.select(F.col("k").alias("_k"), F.col("t").alias("_t"), "_runs"), ["_k", "_t"], "left").drop("_k", "_t")
