@@ -93,10 +93,27 @@ def runs(inside: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def mixed(x: np.ndarray) -> np.ndarray:
     """A bijective scramble of uint64 values."""
     x = x ^ (x >> np.uint64(30))
-    x = x * np.uint64(0xBF58476D1CE4E5B9)
-    x = x ^ (x >> np.uint64(27))
-    x = x * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
+    x *= np.uint64(0xBF58476D1CE4E5B9)
+    x ^= x >> np.uint64(27)
+    x *= np.uint64(0x94D049BB133111EB)
+    x ^= x >> np.uint64(31)
+    return x
+
+
+_powers: dict[str, np.ndarray] = {"up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
+
+
+def _power(kind: str, n: int) -> np.ndarray:
+    """The first n powers of the multiplier, or of its inverse; kept, as every block needs the same."""
+    if len(_powers[kind]) < n:
+        out = np.full(max(n, BLOCK_BYTES + 1), _MULTIPLIER if kind == "up" else _INVERSE, np.uint64)
+        out[0] = 1
+        with np.errstate(over="ignore"):
+            np.cumprod(out, out=out)
+        if n > 4 * BLOCK_BYTES:  # for a rare, very long text only
+            return out[:n]
+        _powers[kind] = out
+    return _powers[kind][:n]
 
 
 class RangeHash:
@@ -104,24 +121,27 @@ class RangeHash:
 
     def __init__(self, data: np.ndarray):
         n = len(data)
-        power = np.full(n + 1, _MULTIPLIER, np.uint64)
-        power[0] = 1
         self._sum = np.zeros(n + 1, np.uint64)
         with np.errstate(over="ignore"):
-            np.cumprod(power, out=power)
-            np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power[:n], out=self._sum[1:])
+            terms = data.astype(np.uint64)
+            terms += np.uint64(1)
+            terms *= _power("up", n)
+            np.cumsum(terms, out=self._sum[1:])
         self._n = n
 
-    def _unshift(self, starts: np.ndarray) -> np.ndarray:
-        if not hasattr(self, "_back"):
-            self._back = np.full(self._n + 1, _INVERSE, np.uint64)
-            self._back[0] = 1
-            np.cumprod(self._back, out=self._back)
-        return self._back[starts]
-
     def of(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         with np.errstate(over="ignore"):
-            return mixed((self._sum[ends] - self._sum[starts]) * self._unshift(starts))
+            x = self._sum[ends]
+            x -= self._sum[starts]
+            x *= _power("down", self._n + 1)[starts]
+            return mixed(x)
+
+    def windows(self, width: int) -> np.ndarray:
+        """Of every range of this many bytes, in order of their starts."""
+        with np.errstate(over="ignore"):
+            x = self._sum[width:] - self._sum[: self._n + 1 - width]
+            x *= _power("down", len(x))
+            return mixed(x)
 
 
 def repeat_ranges(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:

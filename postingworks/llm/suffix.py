@@ -7,8 +7,7 @@ somewhere and occur twice matter, each with the 150 bytes before and 200 bytes a
 
 Equal segments of one anchor form a class, by pre-aggregation; copies need no further comparison. Where an anchor has
 several classes, one representative of each is compared: their string starts in suffix order, the LCP array, and from
-previous and next smaller positions in suffix order the longest previous factor of every string start (and, with
-the order reversed, the longest later one). Anchors with more than `group_rows` classes are divided over tasks by a hash;
+previous and next smaller positions in suffix order the longest previous factor of every string start. Anchors with more than `group_rows` classes are divided over tasks by a hash;
 string starts that find no match in their own part are then counted, by hash, over all parts.
 
 `keep="first"` removes later copies only, in the order of (key, position); `keep="none"` removes all of them.
@@ -23,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import RangeHash, blocks, mixed, repeat_ranges, written
+from .common import RangeHash, blocks, repeat_ranges, written
 
 LENGTH = 200
 GRAM = 50
@@ -31,7 +30,7 @@ GROUP_ROWS = 20_000
 #: Bytes of segments for which a task builds one suffix array, but for larger groups.
 ARRAY_BYTES = 1 << 20
 #: Bytes of text in which anchors are looked for at once.
-BLOCK = 1 << 20
+BLOCK = 1 << 19
 #: Stands for a missing key: before all others.
 NO_KEY = -(1 << 63)
 
@@ -56,8 +55,7 @@ def anchors(data: np.ndarray, at: np.ndarray, length: int = LENGTH, gram: int =
     hashes = RangeHash(data)
     top = np.uint64(0xFFFFFFFFFFFFFFFF)
     h = np.full(n, top)
-    starts = np.arange(n - gram + 1)
-    h[: len(starts)] = hashes.of(starts, starts + gram)
+    h[: n - gram + 1] = hashes.windows(gram)
     low = _sliding(h, width, np.minimum)
     valid = np.zeros(n + 1, np.int8)  # starts of whole strings
     valid[at[:-1][ok]] += 1
@@ -115,36 +113,40 @@ def previous_factors(lcp: np.ndarray, place: np.ndarray) -> np.ndarray:
 
 def matched_starts(group: np.ndarray, segments: np.ndarray, offsets: np.ndarray, place: np.ndarray, length: int = LENGTH):
     """Segments as bytes and offsets, each with its group and the place of its first byte in the corpus. For every
-    string start: segment, start in it, whether an earlier one in its group is equal, whether a later one is.
+    string start: segment, start in it, whether an earlier one in its group is equal, whether any other one is.
 
-    Strings that are unique in their group drop out first, by fingerprints. The rest stand in suffix order: by their
-    first 16 bytes and then by fingerprints of all `length` bytes, so that equal strings are neighbours."""
+    Suffixes are ordered by group and fingerprint of their first `length` bytes. Equal strings are neighbours in that
+    order as in the alphabetical one, which is all that factors of this length need, and one sort makes it."""
     sizes = np.diff(offsets)
     count = np.maximum(sizes - length + 1, 0)
     owner = np.repeat(np.arange(len(sizes), dtype=np.int32), count)
     start = repeat_ranges(offsets[:-1], count)
-    inner = start - offsets[owner]
-    earlier, later = np.zeros(len(start), bool), np.zeros(len(start), bool)
+    inner = (start - offsets[owner]).astype(np.int32)
+    earlier, some = np.zeros(len(start), bool), np.zeros(len(start), bool)
     if not len(start):
-        return owner, inner, earlier, later
+        return owner, inner, earlier, some
     with np.errstate(over="ignore"):
-        print_ = mixed(RangeHash(segments).of(start, start + length) + group[owner].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-    ordered = np.sort(print_)
-    twice = ordered[1:][ordered[1:] == ordered[:-1]]
-    if not len(twice):
-        return owner, inner, earlier, later
-    at = np.searchsorted(twice, print_)
-    live = np.flatnonzero(twice[np.minimum(at, len(twice) - 1)] == print_)
-    code = np.zeros((2, len(live)), np.uint64)
-    for k in range(16):
-        code[k // 8] = code[k // 8] << np.uint64(8) | segments[start[live] + k]
-    order = live[np.lexsort((print_[live], code[1], code[0], group[owner[live]]))]
-    p = print_[order]
-    lcp = np.append(0, np.where(p[1:] == p[:-1], length, 0))
-    where = place[owner[order]] + inner[order]
-    earlier[order] = previous_factors(lcp, where) >= length
-    later[order] = previous_factors(lcp, -where) >= length
-    return owner, inner, earlier, later
+        print_ = RangeHash(segments).windows(length)[start]
+        print_ += group.astype(np.uint64)[owner] * np.uint64(0x9E3779B97F4A7C15)
+    order = np.argsort(print_)
+    sorted_ = print_[order]
+    same = np.append(False, sorted_[1:] == sorted_[:-1])
+    heads = np.flatnonzero(~same)
+    runs = np.diff(np.append(heads, len(same)))
+    # Strings that are alone have no factor; runs of few and of many go apart, so that descents are short for most.
+    for few in (True, False):
+        wanted = (runs > 1) & ((runs <= 16) == few)
+        if not wanted.any():
+            continue
+        at = order[repeat_ranges(heads[wanted], runs[wanted])]
+        lcp = np.full(len(at), length, np.int64)
+        own = np.cumsum(runs[wanted]) - runs[wanted]
+        lcp[own] = 0
+        factor = previous_factors(lcp, place[owner[at]] + inner[at]) >= length
+        earlier[at] = factor
+        # The earliest of its run has a later one if any other has an earlier one.
+        some[at] = np.repeat(np.logical_or.reduceat(factor, own), runs[wanted])
+    return owner, inner, earlier, some
 
 
 def _intervals(owner: np.ndarray, inner: np.ndarray, flags: np.ndarray, n: int) -> pa.ListArray:
@@ -216,14 +218,14 @@ def _compared(classes: DataFrame, docs: DataFrame, length: int, group_rows: int)
             rank = np.empty(len(k), np.int64)
             rank[order] = np.cumsum(new)
             place = (rank << 40) + begin
-            owner, inner, earlier, later = matched_starts(group, data, offsets, place, length)
+            owner, inner, earlier, some = matched_starts(group, data, offsets, place, length)
             n = len(gram)
             # Of divided groups: hashes of the starts without an earlier match, to be counted over all parts.
             open_ = ~earlier & (c[owner] > group_rows)
             hashes = RangeHash(data).of(offsets[owner[open_]] + inner[open_], offsets[owner[open_]] + inner[open_] + length).view(np.int64) if open_.any() else np.zeros(0, np.int64)
             ends = np.searchsorted(owner[open_], np.arange(n + 1)).astype(np.int32)
             left = pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays([pa.array(inner[open_].astype(np.int64)), pa.array(hashes)], names=["i", "h"]))
-            return pa.record_batch([table["gram"].combine_chunks(), table["seg"].combine_chunks(), table["k"].combine_chunks(), table["t"].combine_chunks(), table["begin"].combine_chunks(), _intervals(owner, inner, earlier, n), _intervals(owner, inner, earlier | later, n), left], names=["gram", "seg", "k", "t", "begin", "early", "some", "open"])
+            return pa.record_batch([table["gram"].combine_chunks(), table["seg"].combine_chunks(), table["k"].combine_chunks(), table["t"].combine_chunks(), table["begin"].combine_chunks(), _intervals(owner, inner, earlier, n), _intervals(owner, inner, some, n), left], names=["gram", "seg", "k", "t", "begin", "early", "some", "open"])
 
         for batch in batches:
             held.append(batch)
@@ -295,7 +297,7 @@ def remove_repeated_passages(docs: DataFrame, text: str = "text", key: str = "do
     place = joined.columns.index(text)
 
     def cut(batches):
-        for batch in batches:
+        for batch in (part.slice(a, 256) for part in batches for a in range(0, len(part), 256)):
             lists = batch.column("_runs")
             low, high, ends = lists.values.field("lo").to_numpy(), lists.values.field("hi").to_numpy(), lists.offsets.to_numpy()
             out, removed = [], []
