@@ -30,7 +30,7 @@ def wilson(successes: Column, n: Column) -> tuple[Column, Column]:
     centre = (p + z2 / (count * 2)) / scale
     margin = F.sqrt(p * (F.lit(1.0) - p) / count + z2 / (count * count * 4.0)) * Z95 / scale
     nan = F.lit(float("nan"))
-    return F.coalesce(F.greatest(F.lit(0.0), centre - margin), nan), F.coalesce(F.least(F.lit(1.0), centre + margin), nan)
+    return F.when(n == 0, nan).otherwise(F.greatest(F.lit(0.0), centre - margin)), F.when(n == 0, nan).otherwise(F.least(F.lit(1.0), centre + margin))
 
 
 def predicted_precision(labelled: DataFrame) -> DataFrame:
