@@ -29,6 +29,8 @@ GRAM = 50
 GROUP_ROWS = 20_000
 #: Bytes of segments for which a task builds one suffix array, but for larger groups.
 ARRAY_BYTES = 1 << 20
+#: Rows of segments that are taken from a batch at once.
+CUT_ROWS = 1024
 #: Bytes of text in which anchors are looked for at once.
 BLOCK = 1 << 19
 #: Stands for a missing key: before all others.
@@ -227,7 +229,7 @@ def _compared(classes: DataFrame, docs: DataFrame, length: int, group_rows: int)
             left = pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays([pa.array(inner[open_].astype(np.int64)), pa.array(hashes)], names=["i", "h"]))
             return pa.record_batch([table["gram"].combine_chunks(), table["seg"].combine_chunks(), table["k"].combine_chunks(), table["t"].combine_chunks(), table["begin"].combine_chunks(), _intervals(owner, inner, earlier, n), _intervals(owner, inner, some, n), left], names=["gram", "seg", "k", "t", "begin", "early", "some", "open"])
 
-        for batch in batches:
+        for batch in (part.slice(a, CUT_ROWS) for part in batches for a in range(0, len(part), CUT_ROWS)):
             held.append(batch)
             size += batch.nbytes
             if size < ARRAY_BYTES:
