@@ -29,6 +29,8 @@ GRAM = 50
 GROUP_ROWS = 20_000
 #: Bytes of segments for which a task builds one suffix array, but for larger groups.
 ARRAY_BYTES = 1 << 20
+#: String starts that a task compares at once.
+STARTS = 300_000
 #: Rows of segments that are taken from a batch at once.
 CUT_ROWS = 1024
 #: Bytes of text in which anchors are looked for at once.
@@ -113,16 +115,21 @@ def previous_factors(lcp: np.ndarray, place: np.ndarray) -> np.ndarray:
     return np.maximum(ahead, after)
 
 
-def matched_starts(group: np.ndarray, segments: np.ndarray, offsets: np.ndarray, place: np.ndarray, length: int = LENGTH):
+def matched_starts(group: np.ndarray, segments: np.ndarray, offsets: np.ndarray, place: np.ndarray, lead: np.ndarray, begin: int, end: int, length: int = LENGTH):
     """Segments as bytes and offsets, each with its group and the place of its first byte in the corpus. For every
-    string start: segment, start in it, whether an earlier one in its group is equal, whether any other one is.
+    string start with `begin` to `end` - 1 bytes before the anchor (lead: bytes of each segment before its anchor):
+    segment, start in it, whether an earlier one in its group is equal, whether any other one is.
+
+    Equal strings have their anchor at the same place, so strings with other distances needn't be looked at together,
+    and a large group is done a few distances at a time.
 
     Suffixes are ordered by group and fingerprint of their first `length` bytes. Equal strings are neighbours in that
     order as in the alphabetical one, which is all that factors of this length need, and one sort makes it."""
     sizes = np.diff(offsets)
-    count = np.maximum(sizes - length + 1, 0)
+    low = np.maximum(lead - end + 1, 0)
+    count = np.maximum(np.minimum(sizes - length, lead - begin) - low + 1, 0)
     owner = np.repeat(np.arange(len(sizes), dtype=np.int32), count)
-    start = repeat_ranges(offsets[:-1], count)
+    start = repeat_ranges(offsets[:-1] + low, count)
     inner = (start - offsets[owner]).astype(np.int32)
     earlier, some = np.zeros(len(start), bool), np.zeros(len(start), bool)
     if not len(start):
@@ -181,7 +188,7 @@ def _anchor_rows(docs: DataFrame, length: int, gram: int) -> DataFrame:
     return docs.mapInArrow(found, "gram long, seg long, k long, t long, spot long")
 
 
-def _compared(classes: DataFrame, docs: DataFrame, length: int, group_rows: int) -> DataFrame:
+def _compared(classes: DataFrame, docs: DataFrame, length: int, gram_size: int, group_rows: int) -> DataFrame:
     """Classes of anchors with several (gram, seg, k, t, spot of the first, c) to (gram, seg, first, some): string starts
     in the segment that have an earlier or any match in another class."""
     wanted = classes.groupBy("k", "t").agg(F.collect_list(F.struct("spot", "gram", "seg", "c")).alias("w"))
@@ -201,15 +208,15 @@ def _compared(classes: DataFrame, docs: DataFrame, length: int, group_rows: int)
                 raws = [x.encode("utf-8") for x in texts.slice(a, 32).to_pylist()]
                 pieces = [raws[i][p - x : p + y] for i, p, x, y in zip((own - a).tolist(), pos.tolist(), left.tolist(), right.tolist())]
                 part = seg.view(np.uint64) % ((c.astype(np.uint64) + np.uint64(group_rows - 1)) // np.uint64(group_rows))
-                yield pa.record_batch([pa.array(gram), pa.array(seg), pa.array(part.astype(np.int64)), pa.array(c), pa.array(k[own]), pa.array(t[own]), pa.array(pos - left), pa.array(pieces, pa.binary())], names=["gram", "seg", "part", "c", "k", "t", "begin", "bytes"])
+                yield pa.record_batch([pa.array(gram), pa.array(seg), pa.array(part.astype(np.int64)), pa.array(c), pa.array(k[own]), pa.array(t[own]), pa.array(pos - left), pa.array(left), pa.array(pieces, pa.binary())], names=["gram", "seg", "part", "c", "k", "t", "begin", "lead", "bytes"])
 
-    cuts = docs.join(wanted, ["k", "t"]).select("k", "t", "text", "w").mapInArrow(cut, "gram long, seg long, part long, c long, k long, t long, begin long, bytes binary")
+    cuts = docs.join(wanted, ["k", "t"]).select("k", "t", "text", "w").mapInArrow(cut, "gram long, seg long, part long, c long, k long, t long, begin long, lead long, bytes binary")
 
     def compare(batches):
         held, size = [], 0
 
         def close(table: pa.Table) -> pa.RecordBatch:
-            gram, part, k, t, begin, c = (table[x].to_numpy() for x in ("gram", "part", "k", "t", "begin", "c"))
+            gram, part, k, t, begin, c, lead = (table[x].to_numpy() for x in ("gram", "part", "k", "t", "begin", "c", "lead"))
             group = np.cumsum(np.append(False, (gram[1:] != gram[:-1]) | (part[1:] != part[:-1])))
             raw = table["bytes"].combine_chunks().cast(pa.large_binary())
             offsets = np.frombuffer(raw.buffers()[1], np.int64)[raw.offset : raw.offset + len(raw) + 1]
@@ -220,8 +227,14 @@ def _compared(classes: DataFrame, docs: DataFrame, length: int, group_rows: int)
             rank = np.empty(len(k), np.int64)
             rank[order] = np.cumsum(new)
             place = (rank << 40) + begin
-            owner, inner, earlier, some = matched_starts(group, data, offsets, place, length)
             n = len(gram)
+            step = max(1, STARTS // max(1, n))
+            found = [matched_starts(group, data, offsets, place, lead, d, d + step, length) for d in range(0, length - gram_size + 1, step)]
+            owner, inner, earlier, some = (np.concatenate(x) for x in zip(*found))
+            if len(found) > 1:
+                order = np.argsort(owner.astype(np.int64) << 10 | inner, kind="stable")
+                owner, inner, earlier, some = (x[order] for x in (owner, inner, earlier, some))
+            del found
             # Of divided groups: hashes of the starts without an earlier match, to be counted over all parts.
             open_ = ~earlier & (c[owner] > group_rows)
             hashes = RangeHash(data).of(offsets[owner[open_]] + inner[open_], offsets[owner[open_]] + inner[open_] + length).view(np.int64) if open_.any() else np.zeros(0, np.int64)
@@ -265,7 +278,7 @@ def duplicate_runs(docs: DataFrame, keep: str = "none", length: int = LENGTH, gr
     several = classes.groupBy("gram").agg(F.count("*").alias("c"))
     classes = written(classes.join(several, "gram"))
     single = classes.where("c > 1").select("gram", "seg", "first.k", "first.t", "first.spot", "c")
-    results = written(_compared(single, docs, length, group_rows))
+    results = written(_compared(single, docs, length, gram, group_rows))
     more = _across_parts(results)
     none = F.array().cast(RUNS)
     found = results.join(more, ["gram", "seg"], "left").select("gram", "seg", *[F.concat(c, F.coalesce(f"more_{c}", none)).alias(c) for c in ("early", "some")])
