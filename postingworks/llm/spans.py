@@ -14,6 +14,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from .common import written
+
 SPAN = 3
 #: Sentences, each with its terminators; concatenated they are the text.
 SENTENCE = r"[^.!?\n]*[.!?\n]+|[^.!?\n]+"
@@ -33,7 +35,9 @@ def repeated_runs(docs: DataFrame, text: str = "text", key: str = "doc_id", span
     keys = F.transform(F.sequence(F.lit(1), n), lambda i: F.struct(*[F.xxhash64(F.lit(salt), *[F.element_at("h", i + j) for j in range(span)]).alias(f"r{salt}") for salt in (0, 1)]))
     runs = hashed.where(n > 0).select("k", "a", "t", F.posexplode(keys).alias("at", "r")).select("k", "a", "t", "at", "r.r0", "r.r1")
     place = F.struct("k", "a", "t", "at")
-    first = runs.groupBy("r0", "r1").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last").select("r0", "r1", "first")
+    # Written, so that the join reads runs straight from their exchange: only then can a run that is very common be
+    # split over tasks as a skewed join.
+    first = written(runs.groupBy("r0", "r1").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last").select("r0", "r1", "first"))
     return runs.join(first, ["r0", "r1"]).where(place != F.col("first")).select("a", "t", "at")
 
 
