@@ -272,12 +272,12 @@ def _across_parts(results: DataFrame) -> DataFrame:
 def duplicate_runs(docs: DataFrame, keep: str = "none", length: int = LENGTH, gram: int = GRAM, group_rows: int = GROUP_ROWS) -> DataFrame:
     """docs (k long, t long, text) to (k, t, lo, hi): runs of string starts whose strings are to be removed."""
     spots = _anchor_rows(docs, length, gram)
-    repeated = spots.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram")
+    # Written, so that both sides of the join are plain exchanges and a very common gram is split as a skewed join.
+    repeated = written(spots.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram"))
     rows = written(spots.join(repeated, "gram"))
-    classes = rows.groupBy("gram", "seg").agg(F.count("*").alias("n"), F.min(F.struct("k", "t", "spot")).alias("first"))
-    several = classes.groupBy("gram").agg(F.count("*").alias("c"))
-    classes = written(classes.join(several, "gram"))
-    single = classes.where("c > 1").select("gram", "seg", "first.k", "first.t", "first.spot", "c")
+    classes = written(rows.groupBy("gram", "seg").agg(F.count("*").alias("n"), F.min(F.struct("k", "t", "spot")).alias("first")))
+    several = written(classes.groupBy("gram").agg(F.count("*").alias("c")).where("c > 1"))
+    single = classes.join(several, "gram").select("gram", "seg", "first.k", "first.t", "first.spot", "c")
     results = written(_compared(single, docs, length, gram, group_rows))
     more = _across_parts(results)
     none = F.array().cast(RUNS)
