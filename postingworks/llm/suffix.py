@@ -294,6 +294,8 @@ def duplicate_runs(docs: DataFrame, keep: str = "none", length: int = LENGTH, gr
         runs = F.when(F.struct("k", "t", "spot") != F.col("first"), whole).otherwise(F.col("early"))
     else:
         raise ValueError(f"keep is {keep!r}, not 'none' or 'first'")
+    # Written for the same reason: of a segment that very many documents share, the rows are split over tasks.
+    wanted = written(wanted)
     each = rows.join(wanted, ["gram", "seg"]).select("k", "t", begin.alias("begin"), F.explode(runs).alias("run"))
     return each.where("run.hi >= run.lo").select("k", "t", (F.col("begin") + F.col("run.lo")).alias("lo"), (F.col("begin") + F.col("run.hi")).alias("hi"))
 
