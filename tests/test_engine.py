@@ -1,7 +1,6 @@
 """Sources, ingest, duplicates, exports and HTTP over small recordings of our own."""
 
 import json
-import os
 import random
 from datetime import datetime, timedelta, timezone
 
@@ -230,7 +229,6 @@ def test_reader():
     assert "ValueError" in reader.read_board(config.Board("W", "WORKDAY", "bad"), 0, Fake(), reader.BASES, 3)[0][8]
 
 
-@pytest.mark.skipif(not os.environ.get("POSTINGWORKS_ALL"), reason="unverified: it did not end within two minutes yet")
 def test_stream(spark, tmp_path):
     from postingworks.streaming.lifecycle_stream import raw_stream, start_ingest
 
