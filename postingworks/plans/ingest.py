@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import json
 import time
+import uuid
 from dataclasses import asdict, dataclass, field
 from datetime import datetime
 
@@ -59,6 +60,23 @@ class Store:
     def add_run(self, row: tuple) -> None:
         self._spark.createDataFrame([row], schemas.INGEST_RUN).write.mode("append").parquet(f"{self._root}/runs")
 
+    def staging(self):
+        """A function that writes a table of this run and reads it back, and one that deletes all of them.
+
+        Bodies are fetched once even if executors are lost, and plans stay short: those of cached tables grow with every
+        step, and their analysis took most of a small run."""
+        root = f"{self._root}/staging/{uuid.uuid4().hex}"
+
+        def stage(df: DataFrame, name: str) -> DataFrame:
+            df.write.parquet(f"{root}/{name}")
+            return self._spark.read.schema(df.schema).parquet(f"{root}/{name}")
+
+        def clear() -> None:
+            fs, p = self._fs(root)
+            fs.delete(p, True)
+
+        return stage, clear
+
     def lock(self):
         """Single flight: the file is created by one run at a time."""
         fs, p = self._fs(f"{self._root}/running.lock")
@@ -92,11 +110,12 @@ def ingest(store: Store, raw: DataFrame, boards: list[Board], now: datetime, dic
     """raw: the bodies of these boards, from the reader or a recording. Boards that failed keep their stored rows; links are
     recomputed over all open postings. What is collected is a row a board or a source."""
     unlock = store.lock()
+    stage, clear = store.staging()
     try:
         begun = time.monotonic()
-        raw = raw.cache()
+        raw = stage(raw, "raw")
         postings, verdicts = parse.snapshot(raw)
-        postings, verdicts = postings.cache(), verdicts.cache()
+        postings, verdicts = stage(postings, "postings"), stage(verdicts, "verdicts")
         # One id on two boards of a source breaks storage's key: the board that comes later fails.
         state = store.postings()
         clash = _clashing_boards(state, postings)
@@ -105,8 +124,8 @@ def ingest(store: Store, raw: DataFrame, boards: list[Board], now: datetime, dic
         synced = lifecycle.sync(state, good, ok, now)
         if profile is not None:
             synced = scoring.score_changed(synced, scoring.keyword_scorer(dictionary or SkillDictionary(), profile))
-        synced = synced.cache()
-        links = dedup.dedupe(dedup.open_candidates(synced), settings.title_similarity).cache()
+        synced = stage(synced, "synced")
+        links = stage(dedup.dedupe(dedup.open_candidates(synced), settings.title_similarity), "links")
         version = store.commit(dedup.with_links(synced.drop("change"), links))
         report = Report(now, mode, len(boards), version=version)
         report.failures = [r.asDict() for r in verdicts.where("not ok").select("company", "board_token", "ats", "error").collect()]
@@ -121,11 +140,12 @@ def ingest(store: Store, raw: DataFrame, boards: list[Board], now: datetime, dic
         report.persist_ms = int(1000 * (time.monotonic() - begun))
         s = report.sync
         store.add_run((version, now, mode, len(boards), report.companies_succeeded, report.postings_fetched, s["created"], s["updated"], s["reopened"], s["closed"], 0, report.persist_ms, report.persist_ms))
-        for df in (raw, postings, verdicts, synced, links):
-            df.unpersist()
         return report
     finally:
-        unlock()
+        try:
+            clear()
+        finally:
+            unlock()
 
 
 def _clashing_boards(state: DataFrame, postings: DataFrame) -> DataFrame:
