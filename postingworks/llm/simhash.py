@@ -33,15 +33,13 @@ SEGMENTS = [(0, 13), (13, 13), (26, 13), (39, 13), (52, 12)]
 FAN = 16
 
 
-def fingerprints(texts: pa.Array, shingle: int = SHINGLE) -> np.ndarray:
-    """64-bit fingerprints: a bit is set if it is set in over half of the shingles' XXH64, repeats included."""
-    out = np.zeros(len(texts), np.uint64)
+def shingle_hashes(texts: pa.Array, shingle: int = SHINGLE):
+    """By runs of texts: first text, one past the last, XXH64 of all shingles in order, number of each text's shingles."""
     for a, b, data, at in blocks(texts):
-        if not len(data):
-            continue
         data = np.where((data >= 65) & (data <= 90), data + 32, data).astype(np.uint8)
         starts, ends, of_doc = words(data, at)
         if not len(starts):
+            yield a, b, np.zeros(0, np.uint64), np.zeros(b - a, np.int64)
             continue
         # One space after each word but the last of its text, and no other white space: a shingle is a byte range.
         keep = np.zeros(len(data) + 1, bool)
@@ -59,11 +57,25 @@ def fingerprints(texts: pa.Array, shingle: int = SHINGLE) -> np.ndarray:
         last = np.minimum(first + shingle, np.repeat(of_doc[1:], n)) - 1
         s, e = place[starts[first]].tolist(), place[ends[last] - 1].tolist()
         digest = xxhash.xxh64_intdigest
-        h = np.array([digest(packed[i : j + 1], SEED) for i, j in zip(s, e)], "<u8")
-        bits = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        some = np.flatnonzero(n)
+        yield a, b, np.array([digest(packed[i : j + 1], SEED) for i, j in zip(s, e)], np.uint64), n
+
+
+def voted(h: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Fingerprints of texts with n shingles each; zero for those without."""
+    out = np.zeros(len(n), np.uint64)
+    some = np.flatnonzero(n)
+    if len(some):
+        bits = np.unpackbits(h.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
         ones = np.add.reduceat(bits, (np.cumsum(n) - n)[some], axis=0, dtype=np.int32)
-        out[a + some] = np.packbits(ones * 2 > n[some, None], axis=1, bitorder="little").view("<u8")[:, 0]
+        out[some] = np.packbits(ones * 2 > n[some, None], axis=1, bitorder="little").view("<u8")[:, 0]
+    return out
+
+
+def fingerprints(texts: pa.Array, shingle: int = SHINGLE) -> np.ndarray:
+    """64-bit fingerprints: a bit is set if it is set in over half of the shingles' XXH64, repeats included."""
+    out = np.zeros(len(texts), np.uint64)
+    for a, b, h, n in shingle_hashes(texts, shingle):
+        out[a:b] = voted(h, n)
     return out
 
 
