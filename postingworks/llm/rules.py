@@ -1,7 +1,7 @@
 """Quality rules: base counts of words, symbols and repeats, then a hashed n-gram log-likelihood ratio.
 
 The ratio compares two multinomials over hashed byte trigrams (boundary bytes included): the trusted target, counted
-over a bounded sample of rows labelled as good, and the raw corpus, counted over every row. A document's score is its
+over all rows labelled as good, and the raw corpus, counted over every row. A document's score is its
 sum of log ratios over its number of trigrams; a fixed threshold decides. Nothing about a document depends on others
 but through the two tables of counts, so equal texts get equal verdicts.
 
@@ -18,7 +18,6 @@ from pyspark.sql import DataFrame, functions as F
 from .common import RangeHash, blocks, mixed, words
 
 BUCKETS = 1 << 16
-TARGET_ROWS = 20_000
 THRESHOLD = -0.6
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
@@ -112,18 +111,14 @@ def _grams(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     return bucket, valid, np.maximum(np.diff(at) - 2, 0)
 
 
-def log_ratios(docs: DataFrame, trusted: DataFrame, text: str = "text", key: str = "doc_id", target_rows: int = TARGET_ROWS) -> np.ndarray:
-    """log(target / raw) of each bucket. trusted: keys of good rows, of which `target_rows` at most, by hash, are counted;
-    the raw counts cover all rows."""
-    chosen = trusted.select(F.col(key).cast("long").alias("k")).where("k is not null").distinct().orderBy(F.xxhash64("k"), "k").limit(target_rows)
-    shared = docs.sparkSession.sparkContext.broadcast(np.sort(np.array([r["k"] for r in chosen.collect()], np.int64)))
+def log_ratios(docs: DataFrame, trusted: DataFrame, text: str = "text", key: str = "doc_id") -> np.ndarray:
+    """log(target / raw) of each bucket. trusted: keys of good rows, all of which are counted; the raw counts cover all rows."""
+    good_keys = trusted.select(F.col(key).cast("long").alias("k"), F.lit(True).alias("g")).where("k is not null").distinct()
 
     def count(batches):
-        target = shared.value
         raw, good = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
         for batch in batches:
-            keys = batch.column(0).to_numpy(zero_copy_only=False)
-            known = np.isin(keys, target) if len(target) else np.zeros(len(keys), bool)
+            known = batch.column(0).to_numpy(zero_copy_only=False)
             for a, b, data, at in blocks(batch.column(1)):
                 bucket, valid, _ = _grams(data, at)
                 raw += np.bincount(bucket[valid], minlength=BUCKETS)
@@ -132,7 +127,8 @@ def log_ratios(docs: DataFrame, trusted: DataFrame, text: str = "text", key: str
         used = np.flatnonzero(raw)
         yield pa.record_batch([pa.array(used.astype(np.int32)), pa.array(raw[used]), pa.array(good[used])], names=["b", "raw", "good"])
 
-    sums = docs.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t")).mapInArrow(count, "b int, raw long, good long").groupBy("b").agg(F.sum("raw").alias("raw"), F.sum("good").alias("good"))
+    marked = docs.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t")).join(good_keys, "k", "left").select(F.coalesce("g", F.lit(False)).alias("g"), "t")
+    sums = marked.mapInArrow(count, "b int, raw long, good long").groupBy("b").agg(F.sum("raw").alias("raw"), F.sum("good").alias("good"))
     rows = sums.toPandas()  # of bounded size: a row for each bucket
     raw, good = np.full(BUCKETS, 0.5), np.full(BUCKETS, 0.5)
     raw[rows["b"]] += rows["raw"]
