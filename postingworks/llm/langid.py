@@ -117,7 +117,7 @@ def _viterbi(emit: np.ndarray, doc: np.ndarray, n_docs: int, penalty: float) ->
     active = np.searchsorted(-sizes[order], -np.arange(1, sizes.max() + 1), "right")
     heads = begin[order]
     stay = np.zeros((len(emit), n_langs), bool)
-    best = np.zeros(len(emit), np.int8)
+    best = np.zeros(len(emit), np.int32)
     now = emit[heads].copy()
     best[heads] = now.argmax(axis=1)
     for step in range(1, len(active)):
@@ -147,7 +147,7 @@ def _viterbi(emit: np.ndarray, doc: np.ndarray, n_docs: int, penalty: float) ->
 def fit_languages(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", per_lang: int = SAMPLE_PER_LANG) -> LanguageModel:
     """Learn from about `per_lang` rows of each language at most (rows with a language and a text), chosen by a hash of the key."""
     docs = docs.select(F.col(key).alias("k"), F.col(text).alias("t"), F.col(lang).alias("l")).where("l is not null and t is not null")
-    counts = {r["l"]: r["n"] for r in docs.groupBy("l").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "l").limit(256).collect()}
+    counts = {r["l"]: r["n"] for r in docs.groupBy("l").agg(F.count("*").alias("n")).collect()}
     langs = sorted(counts)
     if not langs:
         return LanguageModel([], np.zeros((BUCKETS, 0), np.float32), np.zeros((N_SCRIPTS, 0), bool))
