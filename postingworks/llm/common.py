@@ -6,45 +6,73 @@ block size and not the batch; texts are always whole. A null text is an empty on
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of text that a Python operator holds unpacked at once; a longer single text is a block of its own.
 BLOCK_BYTES = 2 << 20
 
-_MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
-_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+#: Tables that `written` made within each open `scratch`.
+_open: list[list[DataFrame]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a temporary one only where none is set, as in local tests."""
+    """The folder named by spark.checkpoint.dir. Where none is set, a temporary one in local mode, as in tests; a cluster
+    has no folder of ours that all machines see, so there it is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="postingworks-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
+def _path(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+
 def written(df: DataFrame) -> DataFrame:
-    """`df` as a Parquet table in the shared folder: cuts lineage and survives lost executors."""
+    """`df` as a Parquet table in the shared folder: cuts lineage and survives lost executors.
+
+    The table goes at the end of the innermost `scratch` or, as a result may be read at any later time, with the session."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/postingworks-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._written_at = path
+    if _open:
+        _open[-1].append(out)
+    else:
+        fs, p = _path(spark, path)
+        fs.deleteOnExit(p)
     return out
 
 
 def discard(df: DataFrame) -> None:
     """Delete a table made by `written` that nothing will read again."""
-    spark = df.sparkSession
-    path = spark._jvm.org.apache.hadoop.fs.Path(df._written_at)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    fs, p = _path(df.sparkSession, df._written_at)
+    fs.delete(p, True)
+
+
+@contextmanager
+def scratch() -> Iterator[None]:
+    """Tables written within are deleted at the end; whatever reads them must have been written elsewhere by then."""
+    _open.append([])
+    try:
+        yield
+    finally:
+        for table in _open.pop():
+            discard(table)
 
 
 def flat(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -100,53 +128,48 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x
 
 
-_powers: dict[str, np.ndarray] = {"up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
-
-
-def _power(kind: str, n: int) -> np.ndarray:
-    """The first n powers of the multiplier, or of its inverse; kept, as every block needs the same."""
-    if len(_powers[kind]) < n:
-        out = np.full(max(n, BLOCK_BYTES + 1), _MULTIPLIER if kind == "up" else _INVERSE, np.uint64)
-        out[0] = 1
-        with np.errstate(over="ignore"):
-            np.cumprod(out, out=out)
-        if n > 4 * BLOCK_BYTES:  # for a rare, very long text only
-            return out[:n]
-        _powers[kind] = out
-    return _powers[kind][:n]
-
-
-class RangeHash:
-    """64-bit hashes of any byte ranges of one block, from running sums of byte times power; equal ranges hash alike."""
-
-    def __init__(self, data: np.ndarray):
-        n = len(data)
-        self._sum = np.zeros(n + 1, np.uint64)
-        with np.errstate(over="ignore"):
-            terms = data.astype(np.uint64)
-            terms += np.uint64(1)
-            terms *= _power("up", n)
-            np.cumsum(terms, out=self._sum[1:])
-        self._n = n
-
-    def of(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        with np.errstate(over="ignore"):
-            x = self._sum[ends]
-            x -= self._sum[starts]
-            x *= _power("down", self._n + 1)[starts]
-            return mixed(x)
-
-    def windows(self, width: int) -> np.ndarray:
-        """Of every range of this many bytes, in order of their starts."""
-        with np.errstate(over="ignore"):
-            x = self._sum[width:] - self._sum[: self._n + 1 - width]
-            x *= _power("down", len(x))
-            return mixed(x)
-
-
-def repeat_ranges(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """starts[0], starts[0] + 1, ... (counts[0] of them), starts[1], ..."""
-    total = int(counts.sum())
-    out = np.arange(total, dtype=np.int64)
-    first = np.cumsum(counts) - counts
-    return out + np.repeat(starts - first, counts)
+def range_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """XXH64 of each byte range, as uint64."""
+    raw, digest = data.tobytes(), xxhash.xxh64_intdigest
+    return np.fromiter((digest(raw[a:b]) for a, b in zip(starts.tolist(), ends.tolist())), np.uint64, len(starts))
+
+
+#: Two primes under 2^31 and a base for each; a hash of both is known to agree on unequal ranges by chance only.
+_PRIMES = ((2147483647, 1220703125), (2147483629, 1103515245))
+_powers: dict[tuple[int, int], np.ndarray] = {}
+
+
+def _power(prime: int, base: int, n: int) -> np.ndarray:
+    """The first n powers of the base; kept for blocks of the usual size."""
+    size = max(n, BLOCK_BYTES + 2)
+    if (prime, base) in _powers and len(_powers[prime, base]) >= n:
+        return _powers[prime, base][:n]
+    out = np.ones(1, np.uint64)
+    while len(out) < size:  # doubles: the second half is the first one times a power
+        out = np.concatenate((out, out * np.uint64(pow(base, len(out), prime)) % np.uint64(prime)))
+    out = out[:size].astype(np.uint32)
+    if size == BLOCK_BYTES + 2:  # not those of a rare, very long text
+        _powers[prime, base] = out
+    return out[:n]
+
+
+def even_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 62-bit polynomial hash of each byte range, scrambled to uint64: without a step a range, for ranges that overlap."""
+    x = np.zeros(len(starts), np.uint64)
+    for prime, base in _PRIMES:
+        p = np.uint64(prime)
+        terms = data.astype(np.uint64)
+        terms += np.uint64(1)
+        terms *= _power(prime, base, len(data))
+        if len(data) >= 1 << 23:  # sums of terms under 2^40 fit in 64 bits up to there
+            terms %= p
+        total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(terms)))
+        own = (total[ends] - total[starts]) % p * _power(prime, pow(base, -1, prime), len(data) + 1)[starts] % p
+        x = x << np.uint64(31) | own
+    return mixed(x)
+
+
+def numbered(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """`df` with its columns named c0, c1, ..., so that no name of an operator's own can clash; and the new names."""
+    at = {c: f"c{i}" for i, c in enumerate(df.columns)}
+    return df.toDF(*at.values()), at

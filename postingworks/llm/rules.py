@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import RangeHash, blocks, mixed, words
+from .common import blocks, mixed, range_hashes, words
 
 BUCKETS = 1 << 16
 THRESHOLD = -0.6
@@ -28,7 +28,6 @@ SYMBOLS = b"#*$%&|<>"
 def base_counts(data: np.ndarray, at: np.ndarray) -> dict[str, np.ndarray]:
     """Per text of one block: n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words; and word hashes for others."""
     n = len(at) - 1
-    hashes = RangeHash(data)
     starts, ends, of_doc = words(data, at)
     counts = np.diff(of_doc)
     doc = np.repeat(np.arange(n), counts)
@@ -39,11 +38,11 @@ def base_counts(data: np.ndarray, at: np.ndarray) -> dict[str, np.ndarray]:
     inside = ~((data == 32) | ((data >= 9) & (data <= 13)))
     table = np.zeros(256, bool)
     table[list(SYMBOLS)] = True
-    word_hash = hashes.of(starts, ends)
+    word_hash = range_hashes(data, starts, ends)
     repeat = _repeat_words(word_hash, doc, n)
     return {
         "n_words": counts, "word_chars": per_doc(inside & ((data & 0xC0) != 0x80)), "n_symbols": per_doc(table[data]),
-        "n_dup_lines": _dup_lines(data, at, starts, hashes), "n_repeat_words": repeat, "word_hash": word_hash, "word_doc": doc, "starts": starts, "ends": ends,
+        "n_dup_lines": _dup_lines(data, at, starts), "n_repeat_words": repeat, "word_hash": word_hash, "word_doc": doc, "starts": starts, "ends": ends,
     }
 
 
@@ -75,7 +74,7 @@ def _repeat_words(word_hash: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
     return np.bincount(doc[covered], minlength=n)
 
 
-def _dup_lines(data: np.ndarray, at: np.ndarray, starts: np.ndarray, hashes: RangeHash) -> np.ndarray:
+def _dup_lines(data: np.ndarray, at: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """Lines with a word that equal an earlier line of their text."""
     n = len(at) - 1
     cuts = np.flatnonzero(data == 10)
@@ -91,7 +90,7 @@ def _dup_lines(data: np.ndarray, at: np.ndarray, starts: np.ndarray, hashes: Ran
     worded = np.searchsorted(starts, end) > np.searchsorted(starts, begin)
     begin, end, doc = begin[worded], end[worded], doc[worded]
     with np.errstate(over="ignore"):
-        key = mixed(hashes.of(begin, end) + doc.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+        key = mixed(range_hashes(data, begin, end) + doc.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
     return np.bincount(doc[_repeated(key)[1]], minlength=n) if len(doc) else np.zeros(n, np.int64)
 
 

@@ -6,38 +6,77 @@ The corpus doesn't fit one suffix array, so matches are first brought together b
 somewhere and occur twice matter, each with the 150 bytes before and 200 bytes after its start: its segment.
 
 Equal segments of one anchor form a class, by pre-aggregation; copies need no further comparison. Where an anchor has
-several classes, one representative of each is compared: their string starts in suffix order, the LCP array, and from
-previous and next smaller positions in suffix order the longest previous factor of every string start. Anchors with more than `group_rows` classes are divided over tasks by a hash;
-string starts that find no match in their own part are then counted, by hash, over all parts.
+several classes, one representative of each is compared, in tasks of bounded bytes. A task sorts the representatives by
+their bytes from the anchor on and takes the common prefix of neighbours from the bytes themselves. The alphabetical
+order of the suffixes one byte further left is that order, stably sorted by the byte in front; so the suffix order and
+LCP array of all string starts come from 151 counting sorts, those without an equal left part dropping out on the way.
+Previous and next smaller places in each order give the longest previous factors.
+
+Anchors with more than `group_rows` classes are divided over tasks by a hash; string starts that find no earlier match in
+their own part are then counted over all parts, known by 128-bit hashes of their bytes.
 
 `keep="first"` removes later copies only, in the order of (key, position); `keep="none"` removes all of them.
 
 Defined results: null, empty and short texts are unchanged; rows that repeat both key and text count as copies of each
-other for "none" and as one document for "first"; rows without a key come first; other columns are carried along.
+other for "none" and as one document for "first"; rows without a key come first; other columns are carried along, but
+for those named `kept` or `removed`, whose names the results take.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .common import RangeHash, blocks, repeat_ranges, written
+from .common import blocks, mixed, numbered, written
 
 LENGTH = 200
 GRAM = 50
 GROUP_ROWS = 20_000
-#: Bytes of segments for which a task builds one suffix array, but for larger groups.
-ARRAY_BYTES = 1 << 20
-#: String starts that a task compares at once.
-STARTS = 300_000
-#: Rows of segments that are taken from a batch at once.
+#: Bytes of segments that a task orders at once, but for larger groups, which have `group_rows` segments about at most.
+ARRAY_BYTES = 4 << 20
+#: Rows of segments that are taken from a batch, or given back, at once.
 CUT_ROWS = 1024
 #: Bytes of text in which anchors are looked for at once.
 BLOCK = 1 << 19
 #: Stands for a missing key: before all others.
 NO_KEY = -(1 << 63)
 
+_MULTIPLIER = 0x9E3779B97F4A7C15
+_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+
+def _two_powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of the multiplier and of its inverse; kept for blocks of the usual size."""
+    size = max(n, BLOCK + 1)
+    if size in _powers:
+        return _powers[size]
+    out = []
+    for base in (_MULTIPLIER, pow(_MULTIPLIER, -1, 1 << 64)):
+        x = np.full(size, base, np.uint64)
+        x[0] = 1
+        with np.errstate(over="ignore"):
+            out.append(np.cumprod(x))
+    if size == BLOCK + 1:  # not those of a rare, very long text
+        _powers[size] = tuple(out)
+    return tuple(out)
+
+
+def gram_hashes(data: np.ndarray, width: int) -> np.ndarray:
+    """Hashes of every `width` bytes, in order of their starts. They choose anchors and group them; that unequal grams
+    may share one costs time, never a wrong match."""
+    up, down = _two_powers(len(data) + 1)
+    with np.errstate(over="ignore"):
+        total = np.zeros(len(data) + 1, np.uint64)
+        terms = data.astype(np.uint64)
+        terms += np.uint64(1)
+        terms *= up[: len(data)]
+        np.cumsum(terms, out=total[1:])
+        x = total[width:] - total[: len(data) + 1 - width]
+        x *= down[: len(x)]
+    return mixed(x)
+
 
 def _sliding(x: np.ndarray, width: int, op) -> np.ndarray:
     """op over x[i : i + width] for every i; x is padded by repeating its last value."""
@@ -50,16 +89,15 @@ def _sliding(x: np.ndarray, width: int, op) -> np.ndarray:
 
 
 def anchors(data: np.ndarray, at: np.ndarray, length: int = LENGTH, gram: int = GRAM):
-    """Of one block: text, start in it, bytes before and after the start that belong to the segment, gram and segment hash."""
+    """Of one block: text, start in it, bytes before and after the start that belong to the segment, hash of the gram."""
     n, width = len(data), length - gram + 1
     sizes = np.diff(at)
     ok = sizes >= length
     if not ok.any():
         return None
-    hashes = RangeHash(data)
     top = np.uint64(0xFFFFFFFFFFFFFFFF)
     h = np.full(n, top)
-    h[: n - gram + 1] = hashes.windows(gram)
+    h[: n - gram + 1] = gram_hashes(data, gram)
     low = _sliding(h, width, np.minimum)
     valid = np.zeros(n + 1, np.int8)  # starts of whole strings
     valid[at[:-1][ok]] += 1
@@ -70,11 +108,7 @@ def anchors(data: np.ndarray, at: np.ndarray, length: int = LENGTH, gram: int =
     where = np.flatnonzero((h == back) & (back > 0) & (h < top))
     doc = np.searchsorted(at, where, "right") - 1
     pos = where - at[doc]
-    left = np.minimum(pos, length - gram)
-    right = np.minimum(length, sizes[doc] - pos)
-    with np.errstate(over="ignore"):
-        segment = hashes.of(where - left, where + right) + (left * 1024 + right).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    return doc, pos, left, right, h[where], segment
+    return doc, pos, np.minimum(pos, length - gram), np.minimum(length, sizes[doc] - pos), h[where]
 
 
 def previous_factors(lcp: np.ndarray, place: np.ndarray) -> np.ndarray:
@@ -115,166 +149,213 @@ def previous_factors(lcp: np.ndarray, place: np.ndarray) -> np.ndarray:
     return np.maximum(ahead, after)
 
 
-def matched_starts(group: np.ndarray, segments: np.ndarray, offsets: np.ndarray, place: np.ndarray, lead: np.ndarray, begin: int, end: int, length: int = LENGTH):
-    """Segments as bytes and offsets, each with its group and the place of its first byte in the corpus. For every
-    string start with `begin` to `end` - 1 bytes before the anchor (lead: bytes of each segment before its anchor):
-    segment, start in it, whether an earlier one in its group is equal, whether any other one is.
-
-    Equal strings have their anchor at the same place, so strings with other distances needn't be looked at together,
-    and a large group is done a few distances at a time.
-
-    Suffixes are ordered by group and fingerprint of their first `length` bytes. Equal strings are neighbours in that
-    order as in the alphabetical one, which is all that factors of this length need, and one sort makes it."""
-    sizes = np.diff(offsets)
-    low = np.maximum(lead - end + 1, 0)
-    count = np.maximum(np.minimum(sizes - length, lead - begin) - low + 1, 0)
-    owner = np.repeat(np.arange(len(sizes), dtype=np.int32), count)
-    start = repeat_ranges(offsets[:-1] + low, count)
-    inner = (start - offsets[owner]).astype(np.int32)
-    earlier, some = np.zeros(len(start), bool), np.zeros(len(start), bool)
-    if not len(start):
-        return owner, inner, earlier, some
-    with np.errstate(over="ignore"):
-        print_ = RangeHash(segments).windows(length)[start]
-        print_ += group.astype(np.uint64)[owner] * np.uint64(0x9E3779B97F4A7C15)
-    order = np.argsort(print_)
-    sorted_ = print_[order]
-    same = np.append(False, sorted_[1:] == sorted_[:-1])
-    heads = np.flatnonzero(~same)
-    runs = np.diff(np.append(heads, len(same)))
-    # Strings that are alone have no factor; runs of few and of many go apart, so that descents are short for most.
-    for few in (True, False):
-        wanted = (runs > 1) & ((runs <= 16) == few)
-        if not wanted.any():
-            continue
-        at = order[repeat_ranges(heads[wanted], runs[wanted])]
-        lcp = np.full(len(at), length, np.int64)
-        own = np.cumsum(runs[wanted]) - runs[wanted]
-        lcp[own] = 0
-        factor = previous_factors(lcp, place[owner[at]] + inner[at]) >= length
-        earlier[at] = factor
-        # The earliest of its run has a later one if any other has an earlier one.
-        some[at] = np.repeat(np.logical_or.reduceat(factor, own), runs[wanted])
-    return owner, inner, earlier, some
-
-
-def _intervals(owner: np.ndarray, inner: np.ndarray, flags: np.ndarray, n: int) -> pa.ListArray:
+class _Tails:
+    """Segments in the order of their bytes from the anchor on, and common prefixes of any two of them."""
+
+    def __init__(self, data: np.ndarray, anchor: np.ndarray, right: np.ndarray, length: int):
+        padded = np.concatenate((data, np.zeros(length, np.uint8)))
+        rows = np.lib.stride_tricks.sliding_window_view(padded, length)[anchor]
+        rows[np.arange(length) >= right[:, None]] = 0
+        self.order = np.argsort(np.ascontiguousarray(rows).view(f"S{length}").ravel(), kind="stable")
+        n = len(anchor)
+        shared = np.zeros(n, np.int16)
+        for a in range(1, n, 1 << 13):  # in parts, so that memory follows the bytes
+            b = min(n, a + (1 << 13))
+            differ = rows[self.order[a:b]] != rows[self.order[a - 1 : b - 1]]
+            shared[a:b] = np.where(differ.any(axis=1), differ.argmax(axis=1), length)
+        self.shared = shared
+        self.rank = np.empty(n, np.int64)
+        self.rank[self.order] = np.arange(n)
+        self._right = right
+        self._minima = [shared]  # over runs of 1, 2, 4, ... that end at each
+        while 2 << (len(self._minima) - 1) <= n:
+            low, size = self._minima[-1].copy(), 1 << (len(self._minima) - 1)
+            low[size:] = np.minimum(low[size:], self._minima[-1][:-size])
+            self._minima.append(low)
+        self._minima = np.stack(self._minima)
+
+    def common(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Common bytes from the anchor on of segments x and y, x before y in the order."""
+        a, b = self.rank[x], self.rank[y]
+        k = np.frexp((b - a).astype(float))[1] - 1
+        low = np.minimum(self._minima[k, b], self._minima[k, a + (1 << k)])
+        return np.minimum(low, np.minimum(self._right[x], self._right[y]))
+
+
+def matched_starts(data: np.ndarray, offsets: np.ndarray, lead: np.ndarray, place: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray]:
+    """Segments as bytes and offsets, with the bytes of each before its anchor and the place of its first byte in the
+    corpus, to two flags for each segment and start in it: whether an earlier string is equal, whether any other one is."""
+    n, reach = len(lead), length - gram
+    early, some = np.zeros((n, reach + 1), bool), np.zeros((n, reach + 1), bool)
+    if n < 2:
+        return early, some
+    anchor, right = offsets[:-1] + lead, np.diff(offsets) - lead
+    tails = _Tails(data, anchor, right, length)
+    # In suffix order: the segments that still have others with the same left part, and where a new left part begins.
+    now, head = tails.order, tails.shared < gram
+    head[0] = True
+    for d in range(reach + 1):
+        part = np.cumsum(head) - 1
+        alive = np.bincount(part)[part] > 1
+        now, head, part = now[alive], head[alive], part[alive]
+        if not len(now):
+            break
+        lcp = np.zeros(len(now), np.int64)
+        next_to = np.flatnonzero(~head)
+        lcp[next_to] = d + tails.common(now[next_to - 1], now[next_to])
+        equal = lcp >= length
+        begins = np.flatnonzero(~equal)
+        runs = np.diff(np.append(begins, len(now)))
+        # Runs of few and of many go apart, so that descents are short for most.
+        for few in (True, False):
+            wanted = (runs > 1) & ((runs <= 16) == few)
+            if not wanted.any():
+                continue
+            sizes = runs[wanted]
+            own = np.cumsum(sizes) - sizes
+            at = np.arange(sizes.sum()) + np.repeat(begins[wanted] - own, sizes)
+            near = lcp[at]
+            near[own] = 0
+            who = now[at]
+            start = lead[who] - d
+            some[who, start] = True
+            early[who, start] = previous_factors(near, place[who] + start) >= length
+        # One byte further left; only those go on that may still reach the length with a neighbour.
+        best = np.maximum(lcp, np.append(lcp[1:], 0)) - d
+        go = (lead[now] > d) & (best >= length - lead[now])
+        now, part = now[go], part[go]
+        if not len(now):
+            break
+        byte = data[anchor[now] - d - 1]
+        order = np.argsort(byte, kind="stable")
+        now, part, byte = now[order], part[order], byte[order]
+        head = np.append(True, (byte[1:] != byte[:-1]) | (part[1:] != part[:-1]))
+    return early, some
+
+
+def _intervals(flags: np.ndarray) -> pa.ListArray:
     """Runs of flagged starts of each segment as lists of (lo, hi)."""
-    o, i = owner[flags], inner[flags]
-    new = np.append(True, (o[1:] != o[:-1]) | (i[1:] != i[:-1] + 1))[: len(o)]
-    head = np.flatnonzero(new)
-    tail = np.append(head[1:], len(o))[: len(head)] - 1
-    offsets = np.searchsorted(o[head], np.arange(n + 1)).astype(np.int32)
-    pairs = pa.StructArray.from_arrays([pa.array(i[head].astype(np.int64)), pa.array(i[tail].astype(np.int64))], names=["lo", "hi"])
-    return pa.ListArray.from_arrays(pa.array(offsets), pairs)
+    n = len(flags)
+    edges = np.diff(np.pad(flags.astype(np.int8), ((0, 0), (1, 1))), axis=1)
+    row, lo = np.nonzero(edges == 1)
+    hi = np.nonzero(edges == -1)[1] - 1
+    offsets = np.searchsorted(row, np.arange(n + 1)).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays([pa.array(lo.astype(np.int64)), pa.array(hi.astype(np.int64))], names=["lo", "hi"]))
 
 
 RUNS = "array<struct<lo: long, hi: long>>"
 
 
-def _anchor_rows(docs: DataFrame, length: int, gram: int) -> DataFrame:
-    """docs (k, t, text) to rows (gram, seg, k, t, spot); spot packs start << 20 | before << 10 | after."""
+def _anchor_rows(docs: DataFrame, length: int, gram: int, whole: bool) -> DataFrame:
+    """docs (k, t, text) to rows (gram) or, if whole, (gram, seg, k, t, spot); spot packs start << 20 | before << 10 |
+    after, and seg is XXH64 of the segment's bytes."""
 
     def found(batches):
+        digest = xxhash.xxh64_intdigest
         for batch in batches:
             k, t = (batch.column(i).to_numpy() for i in (0, 1))
             for a, _, data, at in blocks(batch.column(2), BLOCK):
                 hit = anchors(data, at, length, gram) if len(data) else None
                 if hit is None:
                     continue
-                doc, pos, left, right, h, segment = hit
-                yield pa.record_batch([pa.array(x) for x in (h.view(np.int64), segment.view(np.int64), k[a + doc], t[a + doc], pos << 20 | left << 10 | right)], names=["gram", "seg", "k", "t", "spot"])
+                doc, pos, left, right, h = hit
+                columns = [h.view(np.int64)]
+                if whole:
+                    where, raw = at[doc] + pos, data.tobytes()
+                    seg = [digest(raw[s:e], x) for s, e, x in zip((where - left).tolist(), (where + right).tolist(), (left << 10 | right).tolist())]
+                    columns += [np.array(seg, np.uint64).view(np.int64), k[a + doc], t[a + doc], pos << 20 | left << 10 | right]
+                yield pa.record_batch([pa.array(x) for x in columns], names=["gram", "seg", "k", "t", "spot"][: len(columns)])
 
-    return docs.mapInArrow(found, "gram long, seg long, k long, t long, spot long")
+    return docs.mapInArrow(found, "gram long, seg long, k long, t long, spot long" if whole else "gram long")
 
 
-def _compared(classes: DataFrame, docs: DataFrame, length: int, gram_size: int, group_rows: int) -> DataFrame:
-    """Classes of anchors with several (gram, seg, k, t, spot of the first, c) to (gram, seg, first, some): string starts
-    in the segment that have an earlier or any match in another class."""
+def _segments(classes: DataFrame, docs: DataFrame, group_rows: int) -> DataFrame:
+    """Classes (gram, seg, k, t, spot of the first, c: classes of the gram) with the bytes of their segments."""
     wanted = classes.groupBy("k", "t").agg(F.collect_list(F.struct("spot", "gram", "seg", "c")).alias("w"))
 
     def cut(batches):
+        last = None
         for batch in batches:
-            k, t = batch.column("k").to_numpy(), batch.column("t").to_numpy()
-            lists = batch.column("w")
+            ks, ts, lists = batch.column("k").to_numpy(), batch.column("t").to_numpy(), batch.column("w")
             fields = {f: lists.values.field(f).to_numpy() for f in ("spot", "gram", "seg", "c")}
             ends = lists.offsets.to_numpy()
-            texts = batch.column("text")
-            for a in range(0, len(batch), 32):
-                rows = slice(ends[a], ends[min(a + 32, len(batch))])
-                spot, gram, seg, c = (fields[f][rows] for f in ("spot", "gram", "seg", "c"))
-                pos, left, right = spot >> 20, spot >> 10 & 1023, spot & 1023
-                own = np.repeat(np.arange(len(batch)), np.diff(ends))[rows]
-                raws = [x.encode("utf-8") for x in texts.slice(a, 32).to_pylist()]
-                pieces = [raws[i][p - x : p + y] for i, p, x, y in zip((own - a).tolist(), pos.tolist(), left.tolist(), right.tolist())]
-                part = seg.view(np.uint64) % ((c.astype(np.uint64) + np.uint64(group_rows - 1)) // np.uint64(group_rows))
-                yield pa.record_batch([pa.array(gram), pa.array(seg), pa.array(part.astype(np.int64)), pa.array(c), pa.array(k[own]), pa.array(t[own]), pa.array(pos - left), pa.array(left), pa.array(pieces, pa.binary())], names=["gram", "seg", "part", "c", "k", "t", "begin", "lead", "bytes"])
-
-    cuts = docs.join(wanted, ["k", "t"]).select("k", "t", "text", "w").mapInArrow(cut, "gram long, seg long, part long, c long, k long, t long, begin long, lead long, bytes binary")
+            for i, text in enumerate(batch.column("text")):
+                if (ks[i], ts[i]) == last:  # a repeated row
+                    continue
+                last = ks[i], ts[i]
+                raw = text.as_py().encode("utf-8")
+                for a in range(ends[i], ends[i + 1], CUT_ROWS):
+                    spot, gram, seg, c = (fields[f][a : min(a + CUT_ROWS, ends[i + 1])] for f in ("spot", "gram", "seg", "c"))
+                    pos, left, right = spot >> 20, spot >> 10 & 1023, spot & 1023
+                    pieces = [raw[s:e] for s, e in zip((pos - left).tolist(), (pos + right).tolist())]
+                    part = (seg.view(np.uint64) % ((c.astype(np.uint64) + np.uint64(group_rows - 1)) // np.uint64(group_rows))).astype(np.int64)
+                    n = len(spot)
+                    yield pa.record_batch([pa.array(x) for x in (gram, seg, part, c, np.full(n, ks[i]), np.full(n, ts[i]), pos - left, left)] + [pa.array(pieces, pa.binary())], names=["gram", "seg", "part", "c", "k", "t", "begin", "lead", "bytes"])
+
+    return docs.join(wanted, ["k", "t"]).select("k", "t", "text", "w").mapInArrow(cut, "gram long, seg long, part long, c long, k long, t long, begin long, lead long, bytes binary")
+
+
+def _compared(classes: DataFrame, docs: DataFrame, length: int, gram_size: int, group_rows: int) -> DataFrame:
+    """Classes of anchors with several to (gram, seg, k, t, begin, early, some, open): string starts in the segment that
+    have an earlier or any match in another class; open: of divided groups, those without an earlier one."""
 
     def compare(batches):
         held, size = [], 0
 
-        def close(table: pa.Table) -> pa.RecordBatch:
-            gram, part, k, t, begin, c, lead = (table[x].to_numpy() for x in ("gram", "part", "k", "t", "begin", "c", "lead"))
-            group = np.cumsum(np.append(False, (gram[1:] != gram[:-1]) | (part[1:] != part[:-1])))
+        def close(table: pa.Table):
+            k, t, begin, c, lead = (table[x].to_numpy() for x in ("k", "t", "begin", "c", "lead"))
             raw = table["bytes"].combine_chunks().cast(pa.large_binary())
             offsets = np.frombuffer(raw.buffers()[1], np.int64)[raw.offset : raw.offset + len(raw) + 1]
             data = np.frombuffer(raw.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]
             offsets = offsets - offsets[0]
             order = np.lexsort((t, k))
-            new = np.append(False, (k[order][1:] != k[order][:-1]) | (t[order][1:] != t[order][:-1]))
             rank = np.empty(len(k), np.int64)
-            rank[order] = np.cumsum(new)
-            place = (rank << 40) + begin
-            n = len(gram)
-            step = max(1, STARTS // max(1, n))
-            found = [matched_starts(group, data, offsets, place, lead, d, d + step, length) for d in range(0, length - gram_size + 1, step)]
-            owner, inner, earlier, some = (np.concatenate(x) for x in zip(*found))
-            if len(found) > 1:
-                order = np.argsort(owner.astype(np.int64) << 10 | inner, kind="stable")
-                owner, inner, earlier, some = (x[order] for x in (owner, inner, earlier, some))
-            del found
-            # Of divided groups: hashes of the starts without an earlier match, to be counted over all parts.
-            open_ = ~earlier & (c[owner] > group_rows)
-            hashes = RangeHash(data).of(offsets[owner[open_]] + inner[open_], offsets[owner[open_]] + inner[open_] + length).view(np.int64) if open_.any() else np.zeros(0, np.int64)
-            ends = np.searchsorted(owner[open_], np.arange(n + 1)).astype(np.int32)
-            left = pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays([pa.array(inner[open_].astype(np.int64)), pa.array(hashes)], names=["i", "h"]))
-            return pa.record_batch([table["gram"].combine_chunks(), table["seg"].combine_chunks(), table["k"].combine_chunks(), table["t"].combine_chunks(), table["begin"].combine_chunks(), _intervals(owner, inner, earlier, n), _intervals(owner, inner, some, n), left], names=["gram", "seg", "k", "t", "begin", "early", "some", "open"])
+            rank[order] = np.cumsum(np.append(False, (k[order][1:] != k[order][:-1]) | (t[order][1:] != t[order][:-1])))
+            early, some = matched_starts(data, offsets, lead, (rank << 40) + begin, length, gram_size)
+            sizes = np.diff(offsets)
+            for a in range(0, len(k), CUT_ROWS):
+                part = table.slice(a, CUT_ROWS)
+                rows = slice(a, a + len(part))
+                owner, inner = np.nonzero(~early[rows] & (np.arange(early.shape[1]) <= np.minimum(lead[rows], sizes[rows] - length)[:, None]) & (c[rows] > group_rows)[:, None])
+                starts = offsets[rows][owner] + inner
+                hashes = np.frombuffer(b"".join(xxhash.xxh3_128_digest(data[s : s + length].data) for s in starts.tolist()), "<i8").reshape(-1, 2)
+                ends = np.searchsorted(owner, np.arange(len(part) + 1)).astype(np.int32)
+                open_ = pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays([pa.array(inner), *(pa.array(np.ascontiguousarray(hashes[:, i])) for i in (0, 1))], names=["i", "h", "g"]))
+                yield pa.record_batch([*(part[x].combine_chunks() for x in ("gram", "seg", "k", "t", "begin")), _intervals(early[rows]), _intervals(some[rows]), open_], names=["gram", "seg", "k", "t", "begin", "early", "some", "open"])
 
         for batch in (part.slice(a, CUT_ROWS) for part in batches for a in range(0, len(part), CUT_ROWS)):
             held.append(batch)
-            size += batch.nbytes
+            size += len(batch) * (2 * length - gram_size)
             if size < ARRAY_BYTES:
                 continue
             table = pa.Table.from_batches(held)
             gram, part = table["gram"].to_numpy(), table["part"].to_numpy()
             new = np.flatnonzero((gram[1:] != gram[:-1]) | (part[1:] != part[:-1])) + 1
             if len(new):
-                yield close(table.slice(0, new[-1]))
+                yield from close(table.slice(0, new[-1]))
                 held = table.slice(new[-1]).combine_chunks().to_batches()
-                size = sum(x.nbytes for x in held) // 2
+                size = sum(map(len, held)) * (2 * length - gram_size)
         if sum(map(len, held)):
-            yield close(pa.Table.from_batches(held))
+            yield from close(pa.Table.from_batches(held))
 
-    results = cuts.repartition("gram", "part").sortWithinPartitions("gram", "part").mapInArrow(compare, f"gram long, seg long, k long, t long, begin long, early {RUNS}, some {RUNS}, open array<struct<i: long, h: long>>")
-    return results
+    cuts = _segments(classes, docs, group_rows)
+    return cuts.repartition("gram", "part").sortWithinPartitions("gram", "part").mapInArrow(compare, f"gram long, seg long, k long, t long, begin long, early {RUNS}, some {RUNS}, open array<struct<i: long, h: long, g: long>>")
 
 
 def _across_parts(results: DataFrame) -> DataFrame:
     """Adds to the classes of divided groups what only other parts' classes match: rows (gram, seg, early, some)."""
-    rows = results.where(F.size("open") > 0).select("gram", "seg", "k", "t", "begin", F.explode("open").alias("o")).select("gram", "seg", "o.i", "o.h", F.struct("k", "t", (F.col("begin") + F.col("o.i")).alias("p")).alias("place"))
-    first = rows.groupBy("gram", "h").agg(F.min("place").alias("low"), F.max("place").alias("high")).where("low <> high")
-    hit = rows.join(first, ["gram", "h"]).select("gram", "seg", F.struct(F.col("i").alias("lo"), F.col("i").alias("hi")).alias("run"), (F.col("place") > F.col("low")).alias("is_later"))
+    rows = results.where(F.size("open") > 0).select("gram", "seg", "k", "t", "begin", F.explode("open").alias("o")).select("gram", "seg", "o.i", "o.h", "o.g", F.struct("k", "t", (F.col("begin") + F.col("o.i")).alias("p")).alias("place"))
+    first = rows.groupBy("gram", "h", "g").agg(F.min("place").alias("low"), F.max("place").alias("high")).where("low <> high")
+    hit = rows.join(first, ["gram", "h", "g"]).select("gram", "seg", F.struct(F.col("i").alias("lo"), F.col("i").alias("hi")).alias("run"), (F.col("place") > F.col("low")).alias("is_later"))
     return hit.groupBy("gram", "seg").agg(F.collect_list(F.when(F.col("is_later"), F.col("run"))).alias("more_early"), F.collect_list("run").alias("more_some"))
 
 
 def duplicate_runs(docs: DataFrame, keep: str = "none", length: int = LENGTH, gram: int = GRAM, group_rows: int = GROUP_ROWS) -> DataFrame:
     """docs (k long, t long, text) to (k, t, lo, hi): runs of string starts whose strings are to be removed."""
-    spots = _anchor_rows(docs, length, gram)
-    # Written, so that both sides of the join are plain exchanges and a very common gram is split as a skewed join.
-    repeated = written(spots.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram"))
-    rows = written(spots.join(repeated, "gram"))
+    # Written, so that both sides of the joins are plain exchanges and a very common gram or segment, whose rows many
+    # documents share, is split as a skewed join.
+    repeated = written(_anchor_rows(docs, length, gram, False).groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram"))
+    rows = written(_anchor_rows(docs, length, gram, True).join(repeated, "gram"))
     classes = written(rows.groupBy("gram", "seg").agg(F.count("*").alias("n"), F.min(F.struct("k", "t", "spot")).alias("first")))
     several = written(classes.groupBy("gram").agg(F.count("*").alias("c")).where("c > 1"))
     single = classes.join(several, "gram").select("gram", "seg", "first.k", "first.t", "first.spot", "c")
@@ -294,31 +375,32 @@ def duplicate_runs(docs: DataFrame, keep: str = "none", length: int = LENGTH, gr
         runs = F.when(F.struct("k", "t", "spot") != F.col("first"), whole).otherwise(F.col("early"))
     else:
         raise ValueError(f"keep is {keep!r}, not 'none' or 'first'")
-    # Written for the same reason: of a segment that very many documents share, the rows are split over tasks.
     wanted = written(wanted)
     each = rows.join(wanted, ["gram", "seg"]).select("k", "t", begin.alias("begin"), F.explode(runs).alias("run"))
     return each.where("run.hi >= run.lo").select("k", "t", (F.col("begin") + F.col("run.lo")).alias("lo"), (F.col("begin") + F.col("run.hi")).alias("hi"))
 
 
 def remove_repeated_passages(docs: DataFrame, text: str = "text", key: str = "doc_id", keep: str = "none", whole_characters: bool = False, length: int = LENGTH, gram: int = GRAM, group_rows: int = GROUP_ROWS) -> DataFrame:
-    """All columns of docs, `kept` (binary: the remaining bytes) and `removed` (maximal runs as (start, end) in bytes).
+    """The columns of docs, `kept` (binary: the remaining bytes) and `removed` (maximal runs as (start, end) in bytes).
     With whole_characters, runs shrink to whole characters."""
     if not 128 <= length <= 255 or not 8 <= gram <= length:
         raise ValueError("strings have 128 to 255 bytes, grams 8 bytes at least and no more than a string")
+    plain, at = numbered(docs)
+    key, text = at[key], at[text]
     # Rows are known by a hash of key and text; the key itself is carried where the order of rows matters.
     first = F.coalesce(F.col(key).cast("long"), F.lit(NO_KEY)) if keep == "first" else F.lit(0).cast("long")
-    known = docs.withColumns({"_k": first, "_t": F.xxhash64(key, text)})
-    lean = known.select(F.col("_k").alias("k"), F.col("_t").alias("t"), F.col(text).alias("text"))
-    runs = duplicate_runs(lean, keep, length, gram, group_rows).groupBy("k", "t").agg(F.sort_array(F.collect_list(F.struct("lo", "hi"))).alias("_runs"))
-    joined = known.join(runs.select(F.col("k").alias("_k"), F.col("t").alias("_t"), "_runs"), ["_k", "_t"], "left").drop("_k", "_t")
-    place = joined.columns.index(text)
+    known = plain.withColumns({"k": first, "t": F.xxhash64(key, text)})
+    lean = known.select("k", "t", F.col(text).alias("text"))
+    runs = duplicate_runs(lean, keep, length, gram, group_rows).groupBy("k", "t").agg(F.sort_array(F.collect_list(F.struct("lo", "hi"))).alias("runs"))
+    names = {at[c]: c for c in docs.columns if c.lower() not in ("kept", "removed")}
+    joined = known.join(runs, ["k", "t"], "left").select(F.col(text).alias("text"), "runs", *names)
 
     def cut(batches):
         for batch in (part.slice(a, 256) for part in batches for a in range(0, len(part), 256)):
-            lists = batch.column("_runs")
+            lists = batch.column("runs")
             low, high, ends = lists.values.field("lo").to_numpy(), lists.values.field("hi").to_numpy(), lists.offsets.to_numpy()
             out, removed = [], []
-            for i, t in enumerate(batch.column(place)):
+            for i, t in enumerate(batch.column("text")):
                 raw = (t.as_py() or "").encode("utf-8")
                 lo, hi = low[ends[i] : ends[i + 1]], high[ends[i] : ends[i + 1]] + length
                 spans = []
@@ -331,11 +413,11 @@ def remove_repeated_passages(docs: DataFrame, text: str = "text", key: str = "do
                 edges = [0, *(x for s in spans for x in s), len(raw)]
                 out.append(b"".join(raw[a:b] for a, b in zip(edges[::2], edges[1::2])))
                 removed.append([{"start": s, "end": e} for s, e in spans])
-            columns = [batch.column(c) for c in batch.schema.names[:-1]]
-            yield pa.record_batch([*columns, pa.array(out, pa.binary()), pa.array(removed, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))], names=[*batch.schema.names[:-1], "kept", "removed"])
+            yield pa.record_batch([*batch.columns[2:], pa.array(out, pa.binary()), pa.array(removed, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))], names=[*names, "kept", "removed"])
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return joined.mapInArrow(cut, f"{fields}, kept binary, removed array<struct<start: long, end: long>>")
+    fields = "".join(f"{c} {plain.schema[c].dataType.simpleString()}, " for c in names)
+    cleaned = joined.mapInArrow(cut, f"{fields}kept binary, removed array<struct<start: long, end: long>>")
+    return cleaned.select(*[F.col(c).alias(name) for c, name in names.items()], "kept", "removed")
 
 
 def _forward(raw: bytes, i: int) -> int:
