@@ -80,17 +80,22 @@ def queries() -> dict:
     return {f.__name__: f for f in (op1_language_id, op2_simhash_near_dedup, op3_sentence_span_dedup, op4_best_fit_packing, op5_exact_top_k, op6_chat_formatting, op7_quality_rules, op8_quality_classifier, op9_bpe_round_trip, op10_suffix_array_dedup)}
 
 
-OP3_SQL = r"""
+OP3_SQL = rf"""
 WITH s AS (
-  SELECT doc_id, list_filter(regexp_extract_all(coalesce(text, ''), '[^.!?\n]*[.!?\n]+|[^.!?\n]+'), lambda x: x <> '') AS p FROM documents
-), r AS (
-  SELECT doc_id, p, unnest(range(1, len(p) - 1)) AS i FROM s WHERE len(p) >= 3
-), k AS (
-  SELECT doc_id, i, list_transform(p[i:i+2], lambda x: trim(x, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))) AS run FROM r
+  SELECT doc_id, list_filter(regexp_extract_all(coalesce(text, ''), '{spans.SENTENCE}'), lambda x: x <> '') AS p FROM documents
+), c AS (
+  SELECT doc_id, p, list_transform(p, lambda x: trim(x, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))) AS x FROM s
+), w AS (
+  SELECT doc_id, x, list_transform(x, lambda y: len(regexp_extract_all(y, '[^ \t\n\x0b\f\r]+'))) AS w FROM c
+), e AS (
+  SELECT doc_id, x, w, unnest(range(1, len(x) + 1)) AS i FROM w
+), n AS (
+  SELECT doc_id, i, x[i:i + list_filter(range({spans.SPAN}, {spans.MIN_WORDS + 1}), lambda l: i + l - 1 <= len(x) AND list_sum(w[i:i + l - 1]) >= {spans.MIN_WORDS})[1] - 1] AS run FROM e
+  UNION ALL SELECT doc_id, i, x[i:i] FROM e WHERE w[i] >= {spans.MIN_WORDS}
 ), o AS (
-  SELECT doc_id, i, row_number() OVER (PARTITION BY run ORDER BY doc_id, i) AS nth FROM k
+  SELECT doc_id, i, len(run) AS n, row_number() OVER (PARTITION BY run ORDER BY doc_id, i) AS nth FROM n WHERE run IS NOT NULL AND len(run) > 0
 ), gone AS (
-  SELECT doc_id, list(DISTINCT c) AS c FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS c FROM o WHERE nth > 1) GROUP BY doc_id
+  SELECT doc_id, list(DISTINCT c) AS c FROM (SELECT doc_id, unnest(range(i, i + n)) AS c FROM o WHERE nth > 1) GROUP BY doc_id
 )
 SELECT s.doc_id, len(p)::BIGINT AS n_sentences, coalesce(len(c), 0)::BIGINT AS n_removed,
   sha256(coalesce(array_to_string(list_transform(list_filter(range(1, len(p) + 1), lambda i: NOT list_contains(coalesce(c, []), i)), lambda i: p[i]), ''), '')) AS kept_sha256
