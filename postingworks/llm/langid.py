@@ -6,6 +6,10 @@ words with a switching penalty labels spans, and the language with most letters
 A model is a table of hashed letter-trigram log-probabilities, one column for each language. It is fitted on a sample of
 labelled rows whose size is bounded by a parameter; its own size depends on the number of buckets and languages alone.
 
+Letters are those of Unicode's category L, on all planes; marks belong to the letter that they follow and are none by
+themselves. The words of a text are decoded one after the other, so a single very long text keeps one task busy for a
+time in proportion to its length.
+
 Defined results: a null, empty or letterless text is `und` with score 0 and no spans; a text in a script that no
 language was learned with falls back to all languages, ties going to the first in alphabetical order; with nothing
 learned every text is `und`. Rows are independent, so repeated rows get equal results, and other columns are ignored.
@@ -35,35 +39,43 @@ SCRIPTS = [
     (0x0041, 1), (0x0250, 0), (0x0370, 2), (0x0400, 3), (0x0530, 4), (0x0590, 5), (0x0600, 6), (0x0700, 0),
     (0x0900, 7), (0x0980, 8), (0x0A00, 0), (0x0B80, 9), (0x0C00, 10), (0x0C80, 0), (0x0E00, 11), (0x0E80, 0),
     (0x10A0, 12), (0x1100, 13), (0x1200, 0), (0x1E00, 1), (0x1F00, 2), (0x2000, 0), (0x3040, 14), (0x3100, 0),
-    (0x3400, 15), (0xA000, 0), (0xAC00, 13), (0xD7B0, 0), (0xF900, 15), (0xFB00, 0),
+    (0x3400, 15), (0xA000, 0), (0xAC00, 13), (0xD7B0, 0), (0xF900, 15), (0xFB00, 0), (0x20000, 15), (0x32400, 0),
 ]
 N_SCRIPTS = 16
 
 
 @lru_cache(1)
-def _letters() -> tuple[np.ndarray, np.ndarray]:
-    """For each code point of the basic plane: its lower-case form if it is a letter, else 0; and its script."""
-    lower = np.zeros(0x10000, np.uint32)
-    for c in range(0x10000):
+def _letters() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each code point: its lower-case form if it is a letter, itself if it is a mark, else 0; if it is a mark; its script."""
+    lower, mark = np.zeros(0x110000, np.uint32), np.zeros(0x110000, bool)
+    for c in range(0x110000):
         s = chr(c)
-        if unicodedata.category(s)[0] in "LM":
+        kind = unicodedata.category(s)[0]
+        if kind == "L":
             t = s.lower()
             lower[c] = ord(t) if len(t) == 1 else c
-    script = np.zeros(0x10000, np.uint8)
-    for (first, kind), (end, _) in zip(SCRIPTS, [*SCRIPTS[1:], (0x10000, 0)]):
+        elif kind == "M":
+            lower[c], mark[c] = c, True
+    script = np.zeros(0x110000, np.uint8)
+    for (first, kind), (end, _) in zip(SCRIPTS, [*SCRIPTS[1:], (0x110000, 0)]):
         script[first:end] = kind
-    return lower, script
+    return lower, mark, script
 
 
 def _features(data: np.ndarray, at: np.ndarray):
     """Of one block: trigram buckets of each letter, word starts among the letters, script and text of each word,
     and the words' start and end as code points of their texts."""
-    lower, script = _letters()
+    lower, mark, script = _letters()
     points = np.frombuffer(data.tobytes().decode("utf-8", "replace").encode("utf-32-le"), np.uint32)
     begins = (data & 0xC0) != 0x80
     char_at = np.concatenate(([0], np.cumsum(begins)))[at]
-    low = lower[np.minimum(points, 0xFFFF)]
-    low[points > 0xFFFF] = 0
+    low = lower[points]
+    marks = np.flatnonzero(mark[points])
+    if len(marks):  # those that follow no letter, or another text's, are no part of a word
+        base = np.where(mark[points], -1, np.arange(len(points)))
+        base = np.maximum.accumulate(base)[marks]
+        first = char_at[np.searchsorted(char_at, marks, "right") - 1]
+        low[marks[(base < first) | (low[np.maximum(base, 0)] == 0)]] = 0
     letters = np.flatnonzero(low)
     if not len(letters):
         return None
@@ -79,7 +91,7 @@ def _features(data: np.ndarray, at: np.ndarray):
         bucket = (mixed((before << np.uint64(42)) | (code << np.uint64(21)) | after) % np.uint64(BUCKETS)).astype(np.int64)
     last = np.append(first[1:], len(letters)) - 1
     base = char_at[doc[first]]
-    return bucket, first, script[np.minimum(points[letters[first]], 0xFFFF)], doc[first], letters[first] - base, letters[last] + 1 - base
+    return bucket, first, script[points[letters[first]]], doc[first], letters[first] - base, letters[last] + 1 - base
 
 
 @dataclass
