@@ -5,7 +5,7 @@ of labelled rows whose size is bounded by a parameter, then flattened into array
 walk of all rows through all trees.
 
 Defined results: a null or empty text has all its statistics zero and is scored like any other; with no labelled rows
-every score is 0.5; rows without a label and labels without a row take no part in the fit; labels other than 0 and 1 are
+every score is 0.5; the fit uses `sample_rows` labelled rows at most, those of the smallest hashes of their keys; rows without a label and labels without a row take no part in the fit; labels other than 0 and 1 are
 ignored; of repeated labels each counts; other columns are ignored.
 """
 
@@ -162,7 +162,7 @@ def fit_trees(x: np.ndarray, y: np.ndarray, trees: int = TREES, depth: int = DEP
 
 
 def fit_classifier(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", label: str = "quality", sample_rows: int = SAMPLE_ROWS) -> Ensemble:
-    """Fit on the rows of `sample_rows` labels at most, chosen by a hash of the key."""
+    """Fit on `sample_rows` labelled rows at most, chosen by a hash of the key."""
     chosen = labels.select(F.col(key), F.col(label).cast("int").alias("y")).where(F.col("y").isin(0, 1) & F.col(key).isNotNull()).orderBy(F.xxhash64(key), key, "y").limit(sample_rows)
     rows = docs.select(key, text).join(F.broadcast(chosen), key)  # of bounded size: sample_rows keys
     kind = docs.schema[key].dataType.simpleString()
@@ -171,10 +171,12 @@ def fit_classifier(docs: DataFrame, labels: DataFrame, text: str = "text", key:
         for batch in batches:
             for a, b, data, at in blocks(batch.column(1)):
                 x = statistics(data, at)
-                yield pa.record_batch([batch.column(0).slice(a, b - a), batch.column(2).slice(a, b - a), pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, x.shape[1], dtype=np.int32)), pa.array(x.ravel()))], names=[key, "y", "x"])
+                yield pa.record_batch([*(batch.column(i).slice(a, b - a) for i in (0, 2, 3)), pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, x.shape[1], dtype=np.int32)), pa.array(x.ravel()))], names=[key, "y", "t", "x"])
 
-    found = rows.select(key, text, "y").mapInArrow(measured, f"`{key}` {kind}, y int, x array<double>").toPandas()
-    found = found.sort_values([key, "y"], kind="stable")
+    known = rows.select(key, text, "y", F.xxhash64(text).alias("t")).mapInArrow(measured, f"`{key}` {kind}, y int, t long, x array<double>")
+    # Limited again, as a key may have any number of rows.
+    found = known.orderBy(F.xxhash64(key), key, "y", "t").limit(sample_rows).toPandas()
+    found = found.sort_values([key, "y", "t"], kind="stable")
     x = np.stack(found["x"].to_numpy()) if len(found) else np.zeros((0, len(FEATURES)))
     return fit_trees(x, found["y"].to_numpy(float))
 
