@@ -41,16 +41,17 @@ def _path(spark: SparkSession, path: str):
     return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
 
 
-def written(df: DataFrame) -> DataFrame:
+def written(df: DataFrame, outlives: bool = False) -> DataFrame:
     """`df` as a Parquet table in the shared folder: cuts lineage and survives lost executors.
 
-    The table goes at the end of the innermost `scratch` or, as a result may be read at any later time, with the session."""
+    The table goes at the end of the innermost `scratch`. Outside of one, or if it outlives it, it goes with the session,
+    as a result that reads it may be used at any later time."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/postingworks-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._written_at = path
-    if _open:
+    if _open and not outlives:
         _open[-1].append(out)
     else:
         fs, p = _path(spark, path)

@@ -33,8 +33,14 @@ SEGMENTS = [(0, 13), (13, 13), (26, 13), (39, 13), (52, 12)]
 FAN = 16
 
 
-def shingle_hashes(texts: pa.Array, shingle: int = SHINGLE):
-    """By runs of texts: first text, one past the last, XXH64 of all shingles in order, number of each text's shingles."""
+def seeded_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """XXH64 with the operator's seed of each byte range."""
+    raw, digest = data.tobytes(), xxhash.xxh64_intdigest
+    return np.array([digest(raw[i:j], SEED) for i, j in zip(starts.tolist(), ends.tolist())], np.uint64)
+
+
+def shingle_hashes(texts: pa.Array, shingle: int = SHINGLE, hashes=seeded_hashes):
+    """By runs of texts: first text, one past the last, hashes of all shingles in order, number of each text's shingles."""
     for a, b, data, at in blocks(texts):
         data = np.where((data >= 65) & (data <= 90), data + 32, data).astype(np.uint8)
         starts, ends, of_doc = words(data, at)
@@ -51,13 +57,10 @@ def shingle_hashes(texts: pa.Array, shingle: int = SHINGLE):
         keep[gaps] = True
         data[gaps] = 32
         place = np.cumsum(keep) - keep
-        packed = data[keep[:-1]].tobytes()
         n = np.maximum(np.minimum(counts, 1), counts - shingle + 1)
         first = np.repeat(of_doc[:-1] - (np.cumsum(n) - n), n) + np.arange(n.sum())
         last = np.minimum(first + shingle, np.repeat(of_doc[1:], n)) - 1
-        s, e = place[starts[first]].tolist(), place[ends[last] - 1].tolist()
-        digest = xxhash.xxh64_intdigest
-        yield a, b, np.array([digest(packed[i : j + 1], SEED) for i, j in zip(s, e)], np.uint64), n
+        yield a, b, hashes(data[keep[:-1]], place[starts[first]], place[ends[last] - 1] + 1), n
 
 
 def voted(h: np.ndarray, n: np.ndarray) -> np.ndarray:
