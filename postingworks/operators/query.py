@@ -11,6 +11,7 @@ from operator import and_
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import titles
+from .stats import board_summary
 
 SUMMARY = ["id", "ats", "company", "title", "locations", "workplace_type", "department", "url", "score", "matched_skills", "first_seen_at", "closed_at", "duplicate_of_id"]
 
@@ -136,7 +137,6 @@ def keyset_page(state: DataFrame, after_id: int, n: int = 500) -> DataFrame:
 
 def boards(state: DataFrame, configured: DataFrame) -> DataFrame:
     """Configured boards in order with postings_seen, open_postings, last_seen_at; stored boards not configured drop out."""
-    seen = state.groupBy("ats", "board_token").agg(F.count("*").alias("postings_seen"), F.count_if(F.col("closed_at").isNull()).alias("open_postings"), F.max("last_seen_at").alias("last_seen_at"))
-    joined = configured.join(seen, ["ats", "board_token"], "left")
+    joined = configured.join(board_summary(state), ["ats", "board_token"], "left")
     zero = F.lit(0).cast("long")
     return joined.select("company", "ats", "board_token", F.coalesce("postings_seen", zero).alias("postings_seen"), F.coalesce("open_postings", zero).alias("open_postings"), "last_seen_at", "cfg_pos").orderBy("cfg_pos").drop("cfg_pos")

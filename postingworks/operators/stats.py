@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import datetime, timedelta
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.text import round3
 
@@ -50,13 +50,42 @@ def observed(state: DataFrame) -> DataFrame:
     return state.join(first, ["ats", "board_token"]).where("first_seen_at > _first").drop("_first")
 
 
+def board_summary(state: DataFrame) -> DataFrame:
+    """ats, board_token, postings_seen, open_postings, last_seen_at."""
+    return state.groupBy("ats", "board_token").agg(F.count("*").alias("postings_seen"), F.count_if(F.col("closed_at").isNull()).alias("open_postings"), F.max("last_seen_at").alias("last_seen_at"))
+
+
+def fetched_by_ats(postings: DataFrame) -> DataFrame:
+    """Postings fetched of each source, before ids of a board are made unique."""
+    return postings.groupBy("ats").agg(F.count("*").alias("n"))
+
+
+def exact_percentiles(seconds: DataFrame, at: list[float]) -> DataFrame:
+    """One row from a column `s` of whole seconds: n, and p0, p1, ... (null if n is 0), linearly interpolated between ranks.
+
+    Values are counted by day, then by second within each day: the running sum over days has a row a day and the ones
+    over seconds 86,400 rows at most, so no task holds or sorts all values."""
+    counts = seconds.where("s is not null").groupBy(F.floor(F.col("s") / 86400).alias("day"), "s").agg(F.count("*").alias("k"))
+    days = counts.groupBy("day").agg(F.sum("k").alias("k"))
+    before = days.select("day", (F.sum("k").over(Window.orderBy("day")) - F.col("k")).alias("before"))
+    own = Window.partitionBy("day").orderBy("s")
+    ranked = counts.join(before, "day").select("s", (F.col("before") + F.sum("k").over(own)).alias("upto"), "k")
+    total = counts.agg(F.coalesce(F.sum("k"), F.lit(0)).cast("long").alias("n"))
+    near = ranked.crossJoin(F.broadcast(total))  # one row
+    place = [(F.col("n").cast("double") - 1) * F.lit(p) for p in at]
+    holds = lambda rank: (F.col("upto") > rank) & (F.col("upto") - F.col("k") <= rank)
+    picked = near.groupBy("n").agg(*[F.max(F.when(holds(f(x)), F.col("s"))).alias(f"{name}{i}") for i, x in enumerate(place) for name, f in (("low", F.floor), ("high", F.ceil))])
+    value = lambda i, x: F.col(f"low{i}") + (F.col(f"high{i}") - F.col(f"low{i}")) * (x - F.floor(x))
+    found = picked.select(F.col("n").alias("_n"), *[value(i, x).alias(f"p{i}") for i, x in enumerate(place)])
+    return total.join(found, F.col("n") == F.col("_n"), "left").drop("_n")
+
+
 def time_to_close(state: DataFrame) -> DataFrame:
     """observed_closures, median_days, p75_days (null if none); duplicates count too."""
     seconds = F.unix_seconds(F.col("closed_at").cast("timestamp")) - F.unix_seconds(F.col("first_seen_at").cast("timestamp"))
     lean = observed(state.select("ats", "board_token", "first_seen_at", "closed_at")).where("closed_at is not null")
-    days = lean.select((seconds / 86400.0).alias("days"))
-    both = days.agg(F.count("*").alias("observed_closures"), F.percentile("days", F.array(F.lit(0.5), F.lit(0.75))).alias("p"))
-    return both.select("observed_closures", round3(F.get("p", F.lit(0))).alias("median_days"), round3(F.get("p", F.lit(1))).alias("p75_days"))
+    both = exact_percentiles(lean.select(seconds.alias("s")), [0.5, 0.75])
+    return both.select(F.col("n").alias("observed_closures"), round3(F.col("p0") / 86400.0).alias("median_days"), round3(F.col("p1") / 86400.0).alias("p75_days"))
 
 
 def new_openings(state: DataFrame, now: datetime, days: int = 7) -> DataFrame:
@@ -84,11 +113,14 @@ def stats(state: DataFrame, runs: DataFrame, dictionary: DataFrame, now: datetim
 
 
 class StatsCache:
-    """Results by (state version, top), dropped when the version changes."""
+    """Results by (state version, top), dropped when the version changes; `drop` is what a store calls on a commit."""
 
     def __init__(self):
         self._version, self._held = None, {}
 
+    def drop(self, version=None) -> None:
+        self._version, self._held = version, {}
+
     def get(self, version, top: int, compute):
         if version != self._version:
             self._version, self._held = version, {}
