@@ -37,11 +37,14 @@ def _kept(new: Column, old: Column, missing: Column) -> Column:
 def sync(state: DataFrame, postings: DataFrame, boards: DataFrame, now: datetime, first_id: int | None = None) -> DataFrame:
     """STATE after the run, with `change`: created, updated, reopened, closed or null where nothing happened.
 
-    postings: the parsers' output; boards: (ats, board_token, complete) of boards that were fetched. State of other
-    boards is untouched. Stored values stay where the source is silent. New ids follow the run's order: board, position.
+    postings: the parsers' output; boards: (ats, board_token, complete) of boards that were fetched, each once. State of
+    other boards is untouched and takes no part in the join. Stored values stay where the source is silent. New ids follow
+    the run's order, board and position, with gaps.
     """
     at = F.lit(now).cast("timestamp")
-    s = state.select([F.col(c).alias(f"s_{c}") for c in state.columns])
+    own = boards.select("ats", "board_token")
+    s = state.join(own, ["ats", "board_token"], "left_semi").select([F.col(c).alias(f"s_{c}") for c in state.columns])
+    others = state.join(own, ["ats", "board_token"], "left_anti")
     n = first_of_each(postings).withColumn("normalized_title", titles.normalize(F.col("title")))
     for c, size in LENGTHS.items():
         n = n.withColumn(c, truncated(F.col(c), size))
@@ -65,24 +68,18 @@ def sync(state: DataFrame, postings: DataFrame, boards: DataFrame, now: datetime
             return F.coalesce(new, old)
         return F.coalesce(new, old)
 
+    # A board's new rows come after all places of the boards before it: one row a board is added up, and no row is ranked.
+    sizes = postings.groupBy(F.col("cfg_pos").alias("_board")).agg((F.max("pos") + 1).alias("_n"))
+    starts = sizes.select("_board", (F.sum("_n").over(Window.orderBy("_board")) - F.col("_n")).alias("_start"))
     base = F.lit(first_id) if first_id is not None else F.coalesce(F.col("_top"), F.lit(0)) + 1
+    j = j.join(starts, F.col("n_cfg_pos") == F.col("_board"), "left").crossJoin(F.broadcast(state.agg(F.max("id").alias("_top"))))  # one row
     columns = {
-        "first_seen_at": F.coalesce("s_first_seen_at", at), "last_seen_at": F.when(here, at).otherwise(F.col("s_last_seen_at")),
+        "id": F.when(here & ~stored, base + F.col("_start") + F.col("n_pos")).otherwise(F.col("s_id")).cast("long"), "first_seen_at": F.coalesce("s_first_seen_at", at), "last_seen_at": F.when(here, at).otherwise(F.col("s_last_seen_at")),
         "closed_at": F.when(here, F.lit(None).cast("timestamp")).when(closes, at).otherwise(F.col("s_closed_at")),
     }
-    own = ["id", "duplicate_of_id", "dedup_reason", "score", "skills", "matched_skills", *columns]
-    fields = [F.col(f"s_{c}").alias(c) if c in own and c not in columns else columns[c].alias(c) if c in columns else merged(c).alias(c) for c in state.columns]
-    out = j.select(*fields, change.alias("change"), F.col("n_cfg_pos").alias("_board"), F.col("n_pos").alias("_pos"))
-    # Ids: only new rows are numbered, per board, and boards' counts are added up in their order.
-    new_rows, old_rows = out.where("change = 'created'"), out.where("change is null or change <> 'created'")
-    counts = new_rows.groupBy("_board").agg(F.count("*").alias("_n"))
-    starts = counts.select("_board", (F.sum("_n").over(Window.orderBy("_board")) - F.col("_n")).alias("_start"))  # one row per board
-    rank = F.row_number().over(Window.partitionBy("_board").orderBy("_pos"))
-    top = state.agg(F.max("id").alias("_top"))
-    numbered = new_rows.withColumn("_rank", rank).join(starts, "_board").crossJoin(F.broadcast(top))  # one row
-    numbered = numbered.withColumn("id", base + F.col("_start") + F.col("_rank") - 1)
-    keep = [*state.columns, "change"]
-    return old_rows.select(keep).unionByName(numbered.select(keep))
+    kept = ["duplicate_of_id", "dedup_reason", "score", "skills", "matched_skills"]
+    fields = [columns[c].alias(c) if c in columns else F.col(f"s_{c}").alias(c) if c in kept else merged(c).alias(c) for c in state.columns]
+    return j.select(*fields, change.alias("change")).unionByName(others.withColumn("change", F.lit(None).cast("string")))
 
 
 def sync_counts(synced: DataFrame) -> DataFrame:
