@@ -43,7 +43,11 @@ def jaccard(a: Column, b: Column) -> Column:
 
 
 def truncated(c: Column, n: int) -> Column:
-    return F.substring(c, 1, n)
+    """The first n UTF-16 units, as storage counts characters; half of a pair at the end goes too."""
+    raw = F.encode(c, "UTF-16BE")
+    high = F.hex(F.substring(raw, 2 * n - 1, 1)).between("D8", "DB")
+    cut = F.decode(F.substring(raw, F.lit(1), F.when(high, F.lit(2 * n - 2)).otherwise(F.lit(2 * n))), "UTF-16BE")
+    return F.when(F.length(c) * 2 <= n, c).when(F.octet_length(raw) <= 2 * n, c).otherwise(cut)
 
 
 def snippet(c: Column, n: int = 280) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -46,14 +47,35 @@ def write_array(state: DataFrame, path: str, min_score: float | None = None, sin
     ends = rows.sparkSession.createDataFrame([(-(1 << 63), "["), ((1 << 63) - 1, "]")], "id long, value string")
     partial = path.rstrip("/") + ".partial"
     lines.select(F.col("id").cast("long").alias("id"), "value").union(ends).coalesce(1).sortWithinPartitions("id").select("value").write.mode("overwrite").text(partial)
-    _rename(rows.sparkSession, partial, path)
+    _replace_file(rows.sparkSession, partial, path)
     return n
 
 
+def _replace_file(spark: SparkSession, folder: str, path: str) -> None:
+    """Moves the only part file of a folder over `path` in one step; the folder goes."""
+    hadoop, conf = spark._jvm.org.apache.hadoop.fs, spark._jsc.hadoopConfiguration()
+    old, new = hadoop.Path(folder), hadoop.Path(path)
+    fs = old.getFileSystem(conf)
+    part = next(s.getPath() for s in fs.listStatus(old) if s.getPath().getName().startswith("part-"))
+    how = spark._jvm.java.lang.reflect.Array.newInstance(hadoop.Options.Rename.OVERWRITE.getClass(), 1)
+    spark._jvm.java.lang.reflect.Array.set(how, 0, hadoop.Options.Rename.OVERWRITE)
+    hadoop.FileContext.getFileContext(old.toUri() if old.toUri().getScheme() else fs.getUri(), conf).rename(part, new, how)
+    fs.delete(old, True)
+
+
 def _rename(spark: SparkSession, old: str, new: str) -> None:
-    jvm = spark._jvm
-    a, b = jvm.org.apache.hadoop.fs.Path(old), jvm.org.apache.hadoop.fs.Path(new)
+    """Puts a folder in the place of another, which is moved aside first and only deleted when the new one is there; it
+    comes back if that fails. A folder can't be replaced in one step, so readers may find none for a moment."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    a, b, aside = hadoop.Path(old), hadoop.Path(new), hadoop.Path(f"{new.rstrip('/')}.replaced-{uuid.uuid4().hex}")
     fs = a.getFileSystem(spark._jsc.hadoopConfiguration())
-    fs.delete(b, True)
-    if not fs.rename(a, b):
-        raise OSError(f"could not move {old} to {new}")
+    had = fs.exists(b) and fs.rename(b, aside)
+    try:  # some file systems say no, others raise
+        if not fs.rename(a, b):
+            raise OSError("not moved")
+    except Exception as e:
+        if had:
+            fs.rename(aside, b)
+        raise OSError(f"could not move {old} to {new}") from e
+    if had:
+        fs.delete(aside, True)
