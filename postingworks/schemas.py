@@ -1,5 +1,7 @@
 """Explicit schemas; nothing is inferred."""
 
+# Fixed values, from here to the end: names and types of columns, CSV headers and JSON fields must be these.
+
 # Normalized posting, as sources deliver it.
 POSTING = "ats string, external_id string, company string, title string, locations array<string>, workplace_type string, department string, url string, canonical_url string, description string, source_published_at timestamp, compensation string"
 
@@ -12,7 +14,8 @@ STATE = (
 
 INGEST_RUN = "id long, started_at timestamp, mode string, companies_requested int, companies_succeeded int, postings_fetched long, postings_new long, postings_updated long, postings_reopened long, postings_closed long, fetch_time_ms long, persist_time_ms long, wall_time_ms long"
 
-# Raw bodies of one crawl: (ats, board, kind, offset or position, body); kind is 'board', 'page' or 'detail'.
+# Raw bodies of one crawl: (ats, board, kind, offset or position, body); kind is 'board', 'page' or 'detail', or
+# 'retries' for the number of requests of a board that were repeated (in place, without a body).
 RAW = "ats string, company string, board_token string, cfg_pos int, kind string, place long, item string, body string, error string"
 
 # What each source's JSON declares; unknown fields are ignored.

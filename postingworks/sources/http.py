@@ -92,6 +92,11 @@ class Fetcher:
         self._settings, self._send, self._retry, self._sleep = settings, send, retry or Retry(settings, sleep), sleep
         self._buckets: dict[str, TokenBucket] = {}
 
+    @property
+    def retries(self) -> int:
+        """Attempts that were repeated so far."""
+        return self._retry.retries
+
     def fetch(self, url: str, body: str | None = None) -> str:
         at = urlsplit(url)
         key = f"{at.hostname}:{at.port or (443 if at.scheme == 'https' else 80)}"

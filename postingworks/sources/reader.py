@@ -34,8 +34,16 @@ def board_url(board: Board, bases: dict[str, str]) -> str:
 
 
 def read_board(board: Board, pos: int, fetcher: Fetcher, bases: dict[str, str], max_details: int):
-    """Rows of RAW for one board; a failure anywhere is a single row with its error."""
+    """Rows of RAW for one board; a failure anywhere is a single row with its error. A row of kind 'retries' has in
+    `place` how many requests were repeated, if any were."""
     lead = (board.ats, board.name, board.token, pos)
+    before = getattr(fetcher, "retries", 0)
+    rows = _read(board, lead, fetcher, bases, max_details)
+    again = getattr(fetcher, "retries", 0) - before
+    return [*rows, (*lead, "retries", again, None, None, None)] if again else rows
+
+
+def _read(board: Board, lead: tuple, fetcher: Fetcher, bases: dict[str, str], max_details: int) -> list[tuple]:
     try:
         url = board_url(board, bases)
         if board.ats not in PAGE_SIZE:

@@ -1,6 +1,7 @@
 """Board crawls as a stream: each micro-batch of raw bodies is one ingest run against the store.
 
-Exactly once: a batch that was committed before a failure is recognised by its number and skipped.
+Exactly once: a version keeps the name of the batch that it was made of (the stream's checkpoint and the batch's number
+there), so a batch that was committed before a failure is recognised and skipped, whatever else the store holds.
 """
 
 from __future__ import annotations
@@ -24,9 +25,9 @@ def start_ingest(stream: DataFrame, store: Store, checkpoint: str, clock: Callab
     """A running query; boards_of names the boards of a batch (a small list)."""
 
     def run(batch: DataFrame, number: int) -> None:
-        if store.version() > number:  # committed before a restart
-            return
-        ingest(store, batch, boards_of(batch), clock(), profile=profile)
+        name = f"{checkpoint}#{number}"
+        if not store.has_batch(name):
+            ingest(store, batch, boards_of(batch), clock(), profile=profile, batch=name)
 
     return stream.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).start()
 
