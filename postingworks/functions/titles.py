@@ -20,6 +20,7 @@ STOP_WORDS = [
     "and", "or", "of", "the", "for", "a", "an", "in", "at", "to", "with", "on",
     "de", "la", "le", "les", "des", "du", "en", "et", "nb",
 ]
+# What no title word holds, and requisition numbers.
 NOT_TITLE = r"[^\p{L}\p{N}+#]+"
 REQUISITION = r"^[a-z]{1,3}\d{4,}$"
 

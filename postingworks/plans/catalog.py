@@ -15,10 +15,9 @@ from ..functions import places, titles, urls
 from ..functions import text as T
 from ..functions import tokens as K
 from ..functions import values as V
-from ..functions.html import to_text
 from ..operators import dedup, evaluate, export, lifecycle, query, sampling, scoring, stats
 from ..sources import parse
-from . import views
+from . import recorded, views
 from .views import POSTING_SQL, postings, sql_levels, sql_normalize, sql_round3, sql_signature, sql_tokens, sql_url, table
 
 NOW = datetime(2000, 6, 1, tzinfo=timezone.utc)
@@ -130,8 +129,7 @@ def top_companies(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query(_with_posting("SELECT ats, board_token, count(*) AS postings_seen, count(*) FILTER (closed IS NULL) AS open_postings, max(last_seen) AS last_seen FROM posting GROUP BY 1, 2"))
 def board_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = postings(spark, sf_dir)
-    return p.groupBy("ats", "board_token").agg(F.count("*").alias("postings_seen"), F.count_if(query.is_open()).alias("open_postings"), F.max(F.unix_seconds("last_seen_at")).alias("last_seen"))
+    return stats.board_summary(postings(spark, sf_dir)).select("ats", "board_token", "postings_seen", "open_postings", seconds("last_seen_at"))
 
 
 _CATEGORIES = ", ".join(f"('{s.name}', '{s.category}')" for s in config.SKILLS)
@@ -209,11 +207,6 @@ def canonical_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", urls.canonicalize(F.col("url")).alias("canonical_url"))
 
 
-@_query()
-def page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "pages").select("page_id", to_text(F.col("html")).alias("text"))
-
-
 @_query("SELECT doc_id, CASE WHEN length(s) > 280 THEN left(s, 280) || '...' ELSE s END AS snippet FROM (SELECT doc_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS s FROM documents)")
 def snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", T.snippet(F.col("text")).alias("snippet"))
@@ -298,7 +291,7 @@ def workplace_types(spark: SparkSession, sf_dir: str) -> DataFrame:
 def published_times(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.date_format(F.col("ts").cast("timestamp_ntz"), "yyyy-MM-dd'T'HH:mm:ss")
     raw = F.concat(text, F.element_at(F.array(F.lit("Z"), F.lit("+05:30"), F.lit("")), (F.col("event_id") % 3 + 1).cast("int")))
-    day = F.expr("timestampdiff(SECOND, timestamp_ntz'1970-01-01 00:00:00', cast(to_date(cast(ts as timestamp_ntz)) as timestamp_ntz))")
+    day = F.unix_seconds(V.start_of_day(F.date_format(F.col("ts").cast("timestamp_ntz"), "yyyy-MM-dd")))
     return table(spark, sf_dir, "events").select("event_id", F.unix_seconds(V.offset_time(raw)).cast("string").alias("published"), day.alias("day"))
 
 
@@ -394,6 +387,14 @@ def pairs_not_labelled_before(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sampling.without_pairs(pairs, earlier).select("a_id", "b_id")
 
 
+@_query(_pairs_sql("SELECT a_id, b_id, predicted OR a.canonical_url = b.canonical_url AS predicted FROM near JOIN posting a ON a.id = a_id JOIN posting b ON b.id = b_id"))
+def pair_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = _candidates(spark, sf_dir)
+    url = lambda side: p.select(F.col("id").alias(f"{side}_id"), F.col("canonical_url").alias(f"{side}_url"))
+    pairs = sampling.company_pairs(p).join(url("a"), "a_id").join(url("b"), "b_id")
+    return pairs.select("a_id", "b_id", evaluate.predicts(F.col("a_url"), F.col("b_url"), F.col("stratum") == sampling.STRATA[0]).alias("predicted"))
+
+
 def _labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
     l = table(spark, sf_dir, "labels")
     score = F.pmod(F.col("doc_id") * 37, F.lit(101)) / 100.0
@@ -522,11 +523,6 @@ def board_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return boards.select("board_token", "complete", F.when(F.col("ok"), F.col("reason")).alias("reason"), "ok")
 
 
-@_query(_with_posting("SELECT ats, count(*) AS n FROM posting GROUP BY 1"))
-def fetched_by_ats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return postings(spark, sf_dir).groupBy("ats").agg(F.count("*").alias("n"))
-
-
 # Export
 
 
@@ -545,11 +541,11 @@ def exported_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @cache
 def queries() -> dict:
-    return dict(_QUERIES)
+    return _QUERIES | recorded.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
+    return _SQL | recorded.oracle_sql()
 
 
 __all__ = ["queries", "oracle_sql", "schemas"]
