@@ -55,7 +55,8 @@ def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
-    return rules.apply_rules(docs, rules.log_ratios(docs, _table(spark, sf_dir, "labels").where("quality = 1")))
+    judged = rules.apply_rules(docs, rules.log_ratios(docs, _table(spark, sf_dir, "labels").where("quality = 1")))
+    return judged.withColumn("llr", F.round("llr", 6))
 
 
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -136,5 +137,61 @@ FROM e GROUP BY conv_id
 """
 
 
+# Trigrams of bytes by pairs of hexadecimal digits, texts in chunks; windows of words by their numbers.
+OP7_SQL = rf"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t, hex(encode(coalesce(text, ''))) AS x, coalesce(doc_id IN (SELECT doc_id FROM labels WHERE quality = 1), false) AS good FROM documents
+), c AS (
+  SELECT r, good, substr(x, 2 * q + 1, {2 * (256 + 2)}) AS x FROM (SELECT r, good, x, unnest(range(0, length(x) // 2 - 2, 256)) AS q FROM d)
+), g AS (
+  SELECT r, good, ((('0x' || substr(x, 2 * i + 1, 6))::BIGINT * 2654435761) & 4294967295) >> 16 AS b FROM (SELECT r, good, x, unnest(range(0, length(x) // 2 - 2)) AS i FROM c)
+), n AS (
+  SELECT b, count(*) AS raw, count(*) FILTER (good) AS target FROM g GROUP BY b
+), z AS (
+  SELECT sum(raw) + 0.5 * {rules.BUCKETS} AS raw, sum(target) + 0.5 * {rules.BUCKETS} AS target, sum(target) > 0 AS known FROM n
+), ratio AS (
+  SELECT b, CASE WHEN known THEN ln((n.target + 0.5)::DOUBLE / z.target::DOUBLE) - ln((n.raw + 0.5)::DOUBLE / z.raw::DOUBLE) ELSE 0 END AS v FROM n, z
+), llr AS (
+  SELECT r, sum(v) / count(*) AS llr FROM g JOIN ratio USING (b) GROUP BY r
+), w AS (
+  SELECT r, regexp_extract_all(t, '[^ 	-]+') AS w, list_filter(string_split(t, chr(10)), lambda l: regexp_matches(l, '[^ 	-]')) AS lines, t FROM d
+), tri AS (
+  SELECT r, i, count(*) OVER (PARTITION BY r, a, b, c) AS n FROM (SELECT r, i, w[i] AS a, w[i + 1] AS b, w[i + 2] AS c FROM (SELECT r, w, unnest(range(1, len(w) - 1)) AS i FROM w))
+), again AS (
+  SELECT r, count(DISTINCT p)::BIGINT AS n FROM (SELECT r, unnest([i, i + 1, i + 2]) AS p FROM tri WHERE n > 1) GROUP BY r
+), base AS (
+  SELECT r, len(w)::BIGINT AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars, length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols,
+    (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(again.n, 0)::BIGINT AS n_repeat_words FROM w LEFT JOIN again USING (r)
+), judged AS (
+  SELECT *, n_words < {rules.MIN_WORDS} OR 100 * n_repeat_words > {rules.MAX_REPEAT_PERCENT} * n_words AS base_failed FROM base
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, round(coalesce(llr, 0), 6) AS llr, NOT base_failed AND coalesce(llr, 0) >= {rules.THRESHOLD} AS kept
+FROM d JOIN judged USING (r) LEFT JOIN llr USING (r)
+"""
+
+# Bytes as pairs of hexadecimal digits, texts in chunks (a substring costs its whole text); strings by their MD5, as there
+# is one for each byte of the corpus.
+OP10_SQL = f"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents
+), c AS (
+  SELECT r, q, substr(x, 2 * q + 1, {2 * (suffix.LENGTH + 255)}) AS x FROM (SELECT r, x, unnest(range(0, length(x) // 2 - {suffix.LENGTH - 1}, 256)) AS q FROM d)
+), k AS (
+  SELECT r, q + i AS p, md5(substr(x, 2 * i + 1, {2 * suffix.LENGTH})) AS s FROM (SELECT r, q, x, unnest(range(0, length(x) // 2 - {suffix.LENGTH - 1})) AS i FROM c)
+), hit AS (
+  SELECT r, p FROM k WHERE s IN (SELECT s FROM k GROUP BY s HAVING count(*) > 1)
+), step AS (
+  SELECT r, p, coalesce(p - lag(p) OVER (PARTITION BY r ORDER BY p) > {suffix.LENGTH}, true) AS fresh FROM hit
+), run AS (
+  SELECT r, min(p) AS lo, max(p) + {suffix.LENGTH} AS hi FROM (SELECT r, p, count(*) FILTER (fresh) OVER (PARTITION BY r ORDER BY p) AS n FROM step) GROUP BY r, n
+), gone AS (
+  SELECT r, sum(hi - lo)::BIGINT AS n_removed, count(*) AS n_spans, list(lo ORDER BY lo) AS lo, list(hi ORDER BY lo) AS hi FROM run GROUP BY r
+)
+SELECT doc_id, (length(x) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+  sha256(unhex(CASE WHEN lo IS NULL THEN x ELSE array_to_string(list_transform(range(1, len(lo) + 2), lambda i: substr(x, CASE WHEN i = 1 THEN 1 ELSE 2 * hi[i - 1] + 1 END, CASE WHEN i > len(lo) THEN length(x) ELSE 2 * lo[i] - CASE WHEN i = 1 THEN 0 ELSE 2 * hi[i - 1] END END)), '') END)) AS kept_sha256
+FROM d LEFT JOIN gone USING (r)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_sentence_span_dedup": OP3_SQL, "op5_exact_top_k": OP5_SQL, "op6_chat_formatting": OP6_SQL}
+    return {"op3_sentence_span_dedup": OP3_SQL, "op5_exact_top_k": OP5_SQL, "op6_chat_formatting": OP6_SQL, "op7_quality_rules": OP7_SQL, "op10_suffix_array_dedup": OP10_SQL}

@@ -116,7 +116,7 @@ def test_span_dedup(spark):
     assert got == {1: (rows[1][1], 0), 2: (" E own.", 3), 3: (None, 0), 4: ("", 0), 5: (rows[4][1], 0), 6: ("", 4) if got[6][1] == 4 else ("x.", 3)}
 
 
-@pytest.mark.parametrize("name", ["op3_sentence_span_dedup", "op5_exact_top_k", "op6_chat_formatting"])
+@pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
 def test_same_as_sql(name, small, same_as_sql):
     same_as_sql(queries.queries()[name], queries.oracle_sql()[name], small)
 
