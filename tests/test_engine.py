@@ -353,7 +353,7 @@ def test_command_line(spark, tmp_path, capsys):
 
     store = Store(spark, str(tmp_path / "store"))
     boards = [config.Board("Acme", "GREENHOUSE", "acme")]
-    raw = raw_of(spark, {"ats": "GREENHOUSE", "body": json.dumps({"jobs": [job(1), job(2)]})}, {"ats": "GREENHOUSE", "kind": "retries", "place": 3})
+    raw = raw_of(spark, {"ats": "GREENHOUSE", "body": json.dumps({"jobs": [job(1), job(2, "SWE")]})}, {"ats": "GREENHOUSE", "kind": "retries", "place": 3})
     report = ingest(store, raw, boards, T0, profile=config.PROFILE)
     assert report.retries == 3 and report.companies_succeeded == 1 and report.postings_fetched == 2
     export_to = lambda *more: cli.main(["export", "--store", str(tmp_path / "store"), "--out", str(tmp_path / "out"), "--array", *more], spark)
