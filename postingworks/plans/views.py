@@ -29,8 +29,21 @@ def pick(values: list[str], index):
     return F.element_at(strings(values), (index + 1).cast("int"))
 
 
+#: Folders of postings that are stored already, by the folder of their tables.
+_stored: dict[str, str] = {}
+
+
+def store(spark: SparkSession, sf_dir: str, path: str) -> None:
+    """Writes the postings once; from then on `postings` reads them, as queries read a store."""
+    _stored.pop(sf_dir, None)
+    postings(spark, sf_dir).write.mode("overwrite").parquet(path)
+    _stored[sf_dir] = path
+
+
 def postings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """STATE columns: one posting an order; 'F' orders are closed when their last line ships."""
+    if sf_dir in _stored:
+        return spark.read.parquet(_stored[sf_dir])
     orders, customer, nation = (table(spark, sf_dir, t) for t in ("orders", "customer", "nation"))
     shipped = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.max("l_shipdate").alias("ship"), F.min("l_partkey").alias("p_partkey"))
     part = table(spark, sf_dir, "part").select("p_partkey", "p_brand")
