@@ -14,7 +14,8 @@ STATE = (
 
 INGEST_RUN = "id long, started_at timestamp, mode string, companies_requested int, companies_succeeded int, postings_fetched long, postings_new long, postings_updated long, postings_reopened long, postings_closed long, fetch_time_ms long, persist_time_ms long, wall_time_ms long"
 
-# Raw bodies of one crawl: (ats, board, kind, offset or position, body); kind is 'board', 'page' or 'detail', or
+# Raw bodies of one crawl: (ats, board, kind, offset or position, body); kind is 'board' (whole, or a part of its list
+# that begins at the position in place), 'page' or 'detail', or
 # 'retries' for the number of requests of a board that were repeated (in place, without a body).
 RAW = "ats string, company string, board_token string, cfg_pos int, kind string, place long, item string, body string, error string"
 

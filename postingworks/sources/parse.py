@@ -43,10 +43,12 @@ def _finish(items: DataFrame, ats: str, **c: Column) -> DataFrame:
 
 
 def _board_items(raw: DataFrame, ats: str, schema: str, path: str) -> tuple[DataFrame, DataFrame]:
-    """Items of single-body boards, and whether each board's body had its list."""
+    """Items of single-body boards, and whether each board's body had its list. A body may be recorded in several rows, each
+    a body with a part of the list, from the position `place` on; one bad part makes the board malformed."""
     rows = raw.where((F.col("ats") == ats) & (F.col("kind") == "board") & F.col("error").isNull())
-    parsed = rows.select(*BOARD, F.from_json("body", schema).alias("b")).select(*BOARD, F.col(path).alias("list"))
-    return parsed.select(*BOARD, F.posexplode("list").alias("pos", "x")), parsed.select(*BOARD, F.col("list").isNull().alias("malformed"), F.lit(None).cast("string").alias("reason"))
+    parsed = rows.select(*BOARD, F.coalesce("place", F.lit(0)).alias("place"), F.from_json("body", schema).alias("b")).select(*BOARD, "place", F.col(path).alias("list"))
+    items = parsed.select(*BOARD, "place", F.posexplode("list").alias("at", "x")).select(*BOARD, (F.col("place") + F.col("at")).alias("pos"), "x")
+    return items, parsed.groupBy(*BOARD).agg(F.max(F.col("list").isNull()).alias("malformed")).withColumn("reason", F.lit(None).cast("string"))
 
 
 def greenhouse(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -171,10 +173,11 @@ def snapshot(raw: DataFrame, sources: list[str] | None = None) -> tuple[DataFram
     postings = postings.withColumn("valid", valid)
     skipped = postings.groupBy(*BOARD).agg(F.count_if(~F.col("valid")).alias("n_skipped"))
     failed = raw.where("error is not null").groupBy(*BOARD).agg(F.min("error").alias("error"))
-    boards = raw.select(*BOARD).distinct().join(verdicts, BOARD, "left").join(skipped, BOARD, "left").join(failed, BOARD, "left")
+    known = raw.select(*BOARD).distinct().join(verdicts, BOARD, "left").join(failed, BOARD, "left")
+    boards = known.join(skipped, BOARD, "left")
     n = F.coalesce("n_skipped", F.lit(0))
     ok = F.col("error").isNull() & ~F.coalesce("malformed", F.lit(True))
     reason = F.when(n > 0, F.concat(n.cast("string"), F.lit(" postings could not be parsed"))).otherwise(F.col("reason"))
     boards = boards.select(*BOARD, ok.alias("ok"), (ok & reason.isNull()).alias("complete"), reason.alias("reason"), F.coalesce("error", F.when(F.coalesce("malformed", F.lit(True)), F.lit("malformed body"))).alias("error"), n.alias("n_skipped"))
-    good = postings.where("valid").drop("valid").join(boards.where("ok").select("ats", "board_token"), ["ats", "board_token"], "left_semi")
+    good = postings.where("valid").drop("valid").join(known.where(ok).select("ats", "board_token"), ["ats", "board_token"], "left_semi")
     return good, boards

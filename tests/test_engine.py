@@ -42,6 +42,15 @@ def test_single_body_sources(spark):
     assert not b["GREENHOUSE", "bad"].ok and b["LEVER", "down"].error == "boom"
 
 
+def test_board_in_parts(spark):
+    """A part's items come after those of the parts before it; one bad part makes the board malformed."""
+    part = lambda token, place, body: {"ats": "GREENHOUSE", "token": token, "place": place, "body": body}
+    raw = raw_of(spark, part("a", 2, json.dumps({"jobs": [job(3)]})), part("a", 0, json.dumps({"jobs": [job(1), job(2, " ")]})), part("b", 0, json.dumps({"jobs": [job(4)]})), part("b", 1, "<html>"))
+    good, boards = parse.snapshot(raw, ["GREENHOUSE"])
+    assert sorted((r.board_token, r.external_id, r.pos) for r in good.collect()) == [("a", "1", 0), ("a", "3", 2)]
+    assert sorted((r.board_token, r.ok, r.complete, r.n_skipped) for r in boards.collect()) == [("a", True, False, 1), ("b", False, False, 0)]
+
+
 def test_paged_sources(spark):
     page = lambda total, *paths: json.dumps({"total": total, "jobPostings": [{"title": f"T{p}", "externalPath": p, "locationsText": "2 Locations"} for p in paths]})
     detail = json.dumps({"jobPostingInfo": {"title": "Real", "location": "Oslo", "startDate": "2026-02-03", "remoteType": "Flexible", "jobDescription": "<p>d</p>"}})
