@@ -10,7 +10,7 @@ from ..functions.html import to_text
 from ..functions.values import start_of_day
 from ..operators import lifecycle, stats
 from ..sources import parse
-from .views import POSTING_SQL, pick, postings, table
+from .views import POSTING_SQL, part_of, pick, postings, table
 
 _QUERIES: dict = {}
 _SQL: dict[str, str] = {}
@@ -31,19 +31,22 @@ def _raw(rows: DataFrame, ats: str, token, kind: str, place, item, body) -> Data
     return rows.select(F.lit(ats).alias("ats"), F.col("n_name").alias("company"), token.alias("board_token"), F.col("n_nationkey").cast("int").alias("cfg_pos"), F.lit(kind).alias("kind"), place.cast("long").alias("place"), item.alias("item"), body.alias("body"), none.alias("error"))
 
 
+def _with_nation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nation = table(spark, sf_dir, "nation").select("n_name", "n_nationkey")
+    return postings(spark, sf_dir).join(nation, F.col("board_token") == F.col("n_name"))
+
+
 def _listed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Postings with their nation and idx, their place on its board, from 0."""
-    idx = F.row_number().over(Window.partitionBy("board_token").orderBy("id")) - 1
-    nation = table(spark, sf_dir, "nation").select("n_name", "n_nationkey")
-    return postings(spark, sf_dir).withColumn("idx", idx).join(nation, F.col("board_token") == F.col("n_name"))
+    return _with_nation(spark, sf_dir).withColumn("idx", F.row_number().over(Window.partitionBy("board_token").orderBy("id")) - 1)
 
 
 def _board(spark: SparkSession, sf_dir: str, ats: str, item, wrap=None) -> DataFrame:
-    """One body a board: its items in the order of their ids."""
-    jobs = _listed(spark, sf_dir).groupBy("n_name", "n_nationkey").agg(F.array_sort(F.collect_list(F.struct("id", item.alias("x")))).alias("xs"))
+    """The bodies of each board, one a part: its items in the order of their ids."""
+    jobs = _with_nation(spark, sf_dir).groupBy("n_name", "n_nationkey", part_of("id").alias("place")).agg(F.array_sort(F.collect_list(F.struct("id", item.alias("x")))).alias("xs"))
     items = F.transform("xs", lambda x: x["x"])
     body = F.to_json(items if wrap is None else F.struct(items.alias(wrap)))
-    return _raw(jobs, ats, F.col("n_name"), "board", F.lit(0), F.lit(None).cast("string"), body)
+    return _raw(jobs, ats, F.col("n_name"), "board", F.col("place"), F.lit(None).cast("string"), body)
 
 
 def _paged(rows: DataFrame, ats: str, token, size: int, total: str, wrap: str, item, ident, detail) -> DataFrame:
