@@ -38,7 +38,7 @@ def test_crawl_days_are_of_the_nearest_second_and_unknown_ones_stay(spark, small
     same_as_sql(catalog.queries()["lifecycle_history"], catalog.oracle_sql()["lifecycle_history"], str(tmp_path))
 
 
-@pytest.mark.parametrize("name", ["greenhouse_postings", "ashby_postings"])
+@pytest.mark.parametrize("name", ["greenhouse_postings", "ashby_postings", "lever_postings"])
 def test_boards_are_recorded_in_parts(name, spark, small, same_as_sql, monkeypatch):
     """A body holds the postings of a fixed range of ids, so none grows with the tables."""
     seen, whole = [], parse.snapshot
