@@ -112,7 +112,8 @@ def _grams(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
 
 def log_ratios(docs: DataFrame, trusted: DataFrame, text: str = "text", key: str = "doc_id") -> np.ndarray:
     """log(target / raw) of each bucket. trusted: keys of good rows, all of which are counted; the raw counts cover all rows."""
-    good_keys = trusted.select(F.col(key).cast("long").alias("k"), F.lit(True).alias("g")).where("k is not null").distinct()
+    # One plan at all sizes: each text is written to the shuffle once, and only keys are held, never sorted texts.
+    good_keys = trusted.select(F.col(key).cast("long").alias("k"), F.lit(True).alias("g")).where("k is not null").distinct().hint("shuffle_hash")
 
     def count(batches):
         raw, good = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
