@@ -3,8 +3,8 @@
 Texts with equal sets become one class. Candidates come from two routes, and each is checked on the whole sets:
 SimHash's Gray-order forest over fingerprints of the same shingles, which is cheap but misses pairs, and prefix
 filtering, which misses none. Of two linked sets both hold a common shingle among their first n - ceil(0.8 n) + 1, in
-any order that is the same for all. The order is by how full a shingle's counter is in a table of fixed size, so that
-common passages come last; the table sets the cost only, never the result.
+any order that is the same for all. The order is by how full a shingle's counter is in a table of fixed size, filled
+from all classes, so that common passages come last; the table sets the cost only, never the result.
 
 All pairs of a large group are never made at first: each class is compared with the smallest one of each prefix shingle
 that it has, then, twice, with one of a few random ones that share the shingle and are of another component; at last only
@@ -31,8 +31,9 @@ from .simhash import link_classes, shingle_hashes, voted
 
 SHINGLE = 5
 SIMILARITY = 0.8
-#: Counters of the table that orders shingles; filled from an eighth of the classes.
+#: Counters of the table that orders shingles, and counters of a row in which they are added up.
 COUNTERS = 1 << 20
+RANGE = 1 << 12
 #: Longs of a sketch of 1,024 bits, and their columns.
 WORDS = 16
 SKETCH = [f"s{i}" for i in range(WORDS)]
@@ -90,18 +91,33 @@ def class_rows(docs: DataFrame, text: str, key: str, shingle: int = SHINGLE) ->
 
 
 def fill(texts: DataFrame, shingle: int = SHINGLE, counters: int = COUNTERS) -> np.ndarray:
-    """The table of counters over an eighth of the classes (c, x), by their hash."""
+    """The table of counters over all classes (c, x). Tasks add up ranges of counters, of which a row has one, as the
+    counters of a task would be as large as its texts if each had a row."""
+    width = min(counters, RANGE)
+
+    def rows(table: np.ndarray):
+        at = np.flatnonzero(table.any(axis=1))
+        return pa.record_batch([pa.array(at.astype(np.int64)), pa.array([table[i].tobytes() for i in at], pa.binary())], names=["r", "n"])
 
     def counted(batches):
+        table = np.zeros(counters, np.uint32)
         for batch in batches:
             for _, _, h, _, _ in shingle_sets(batch.column(0), shingle):
-                b, count = np.unique(h & np.uint64(counters - 1), return_counts=True)
-                yield pa.record_batch([pa.array(b.astype(np.int64)), pa.array(count)], names=["b", "n"])
+                table += np.bincount((h & np.uint64(counters - 1)).astype(np.int64), minlength=counters).astype(np.uint32)
+        yield rows(table.reshape(-1, width))
 
-    filled = texts.where(F.pmod("c", F.lit(8)) == 0).select("x").mapInArrow(counted, "b long, n long").groupBy("b").agg(F.sum("n").alias("n")).toArrow()
-    table = np.zeros(counters, np.uint32)
-    table[filled["b"].to_numpy()] = np.minimum(filled["n"].to_numpy(), 0xFFFFFFFF)
-    return table
+    def added(batches):
+        table = np.zeros((counters // width, width), np.uint64)
+        for batch in batches:
+            for r, n in zip(batch.column(0).to_numpy(), batch.column(1)):
+                table[r] += np.frombuffer(n.as_buffer(), np.uint32)
+        yield rows(np.minimum(table, 0xFFFFFFFF).astype(np.uint32))
+
+    filled = texts.select("x").mapInArrow(counted, "r long, n binary").repartition("r").mapInArrow(added, "r long, n binary").toArrow()
+    table = np.zeros((counters // width, width), np.uint32)
+    for r, n in zip(filled["r"].to_pylist(), filled["n"].to_pylist()):
+        table[r] = np.frombuffer(n, np.uint32)
+    return table.ravel()
 
 
 def prefixes(texts: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY, counters: int = COUNTERS) -> DataFrame:

@@ -3,6 +3,9 @@
 import random
 from itertools import combinations
 
+import numpy as np
+import pyarrow as pa
+
 import corpus_pipeline
 from postingworks.llm import jaccard
 
@@ -74,3 +77,11 @@ def test_other_texts_under_one_doc_id_stay(spark, tmp_path):
     for parts in (1, 5):
         kept = corpus_pipeline.simhash_near_dedup(spark, docs.repartition(parts), str(tmp_path)).collect()
         assert sorted(map(tuple, kept)) == [rows[0], rows[3], rows[4]]
+
+
+def test_counters_are_filled_from_all_classes(spark):
+    rows = [(i, f"common words of every text here {i} {i * 7} end") for i in range(-40, 40)]
+    want = np.zeros(1 << 6, np.int64)
+    for _, _, h, _, _ in jaccard.shingle_sets(pa.array([x for _, x in rows])):
+        np.add.at(want, (h & np.uint64((1 << 6) - 1)).astype(np.int64), 1)
+    assert jaccard.fill(spark.createDataFrame(rows, "c long, x string").repartition(3), counters=1 << 6).tolist() == want.tolist()
