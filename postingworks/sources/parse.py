@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from .. import schemas
 from ..config import ATS_ORDER
 from ..functions import urls
-from ..functions.html import to_text
+from ..functions.html import to_text, to_texts
 from ..functions.text import is_blank, strings, strip
 from ..functions.values import instant, offset_time, pay_range, start_of_day, workplace, workplace_of_phrase
 
@@ -64,13 +64,11 @@ def greenhouse(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def lever(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
     items, boards = _board_items(raw, "LEVER", schemas.LEVER, "b")
-    # Sections hold HTML: one row per section is turned to text in batches, then they are gathered per item again.
-    sections = items.select(*BOARD, "pos", F.posexplode(F.col("x.lists")).alias("at", "s")).select(*BOARD[:1], "board_token", "pos", "at", F.concat(F.coalesce("s.text", F.lit("")), F.lit(" "), to_text(F.col("s.content"))).alias("line"))
-    gathered = sections.groupBy("ats", "board_token", "pos").agg(F.array_sort(F.collect_list(F.struct("at", "line"))).alias("sections"))
-    items = items.join(gathered, ["ats", "board_token", "pos"], "left")
+    # Sections hold HTML; those of an item stay in its row, so that no items are shuffled to meet their sections.
+    sections = F.zip_with("x.lists", to_texts(F.transform("x.lists", lambda s: s["content"])), lambda s, text: F.concat(F.coalesce(s["text"], F.lit("")), F.lit(" "), text))
     c = F.col("x.categories")
     many = F.size(F.coalesce(c["allLocations"], _none())) > 0
-    lines = F.concat(F.array(F.coalesce("x.descriptionPlain", F.lit(""))), F.coalesce(F.transform("sections", lambda s: s["line"]), _none()), F.array(F.coalesce("x.additionalPlain", F.lit(""))))
+    lines = F.concat(F.array(F.coalesce("x.descriptionPlain", F.lit(""))), F.coalesce(sections, _none()), F.array(F.coalesce("x.additionalPlain", F.lit(""))))
     pay = F.col("x.salaryRange")
     return _finish(
         items, "LEVER", external_id=F.col("x.id"), title=F.col("x.text"), locations=F.when(many, c["allLocations"]).when(c["location"].isNotNull(), F.array(c["location"])),

@@ -42,6 +42,18 @@ def test_single_body_sources(spark):
     assert not b["GREENHOUSE", "bad"].ok and b["LEVER", "down"].error == "boom"
 
 
+def test_lever_sections_stay_in_their_row(spark):
+    section = lambda text, content: {"text": text, "content": content}
+    item = lambda i, lists: {"id": f"l{i}", "text": "Dev", "hostedUrl": f"https://l.example/{i}", "descriptionPlain": "a", "lists": lists}
+    items = [item(1, [section("B", "<li>b</li><li>c</li>"), section(None, "<p>d</p>"), section("E", None)]), item(2, []), item(3, None), item(4, [None, section(" ", "")])]
+    raw = raw_of(spark, {"ats": "LEVER", "body": json.dumps(items)})
+    good = parse.lever(raw)[0]
+    assert {r.external_id: r.description for r in good.collect()} == {"l1": "a\nB b c\nd\nE", "l2": "a", "l3": "a", "l4": "a"}
+    plan = good._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Exchange" not in plan
+
+
+
 def test_board_in_parts(spark):
     """A part's items come after those of the parts before it; one bad part makes the board malformed."""
     part = lambda token, place, body: {"ats": "GREENHOUSE", "token": token, "place": place, "body": body}
