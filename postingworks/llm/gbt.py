@@ -14,6 +14,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
@@ -164,21 +165,26 @@ def fit_trees(x: np.ndarray, y: np.ndarray, trees: int = TREES, depth: int = DEP
 def fit_classifier(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", label: str = "quality", sample_rows: int = SAMPLE_ROWS) -> Ensemble:
     """Fit on `sample_rows` labelled rows at most, chosen by a hash of the key."""
     chosen = labels.select(F.col(key), F.col(label).cast("int").alias("y")).where(F.col("y").isin(0, 1) & F.col(key).isNotNull()).orderBy(F.xxhash64(key), key, "y").limit(sample_rows)
-    rows = docs.select(key, text).join(F.broadcast(chosen), key)  # of bounded size: sample_rows keys
+    # A row for each key, so that a text is measured once, however often its key is labelled.
+    counts = chosen.groupBy(key).agg(F.sum(1 - F.col("y")).alias("n0"), F.sum("y").alias("n1"))
+    rows = docs.select(key, text).join(F.broadcast(counts), key)  # of bounded size: sample_rows keys
     kind = docs.schema[key].dataType.simpleString()
 
     def measured(batches):
         for batch in batches:
             for a, b, data, at in blocks(batch.column(1)):
                 x = statistics(data, at)
-                yield pa.record_batch([*(batch.column(i).slice(a, b - a) for i in (0, 2, 3)), pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, x.shape[1], dtype=np.int32)), pa.array(x.ravel()))], names=[key, "y", "t", "x"])
-
-    known = rows.select(key, text, "y", F.xxhash64(text).alias("t")).mapInArrow(measured, f"`{key}` {kind}, y int, t long, x array<double>")
-    # Limited again, as a key may have any number of rows.
-    found = known.orderBy(F.xxhash64(key), key, "y", "t").limit(sample_rows).toPandas()
-    found = found.sort_values([key, "y", "t"], kind="stable")
+                yield pa.record_batch([*(batch.column(i).slice(a, b - a) for i in (0, 2, 3, 4)), pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, x.shape[1], dtype=np.int32)), pa.array(x.ravel()))], names=[key, "n0", "n1", "t", "x"])
+
+    known = rows.select(key, text, "n0", "n1", F.xxhash64(text).alias("t")).mapInArrow(measured, f"`{key}` {kind}, n0 long, n1 long, t long, x array<double>")
+    # Limited again, as a key may have any number of rows; in a task, as the driver would get that many rows of each task.
+    first = known.withColumn("h", F.xxhash64(key)).orderBy("h", key, "t").limit(sample_rows).coalesce(1).toPandas()
+    found = pd.concat([first.assign(y=y, n=first[f"n{y}"]) for y in (0, 1)]).sort_values(["h", key, "y", "t"], kind="stable")
+    found["n"] = np.diff(np.minimum(np.cumsum(found["n"].to_numpy(np.int64)), sample_rows), prepend=0)
+    found = found[found["n"] > 0].sort_values([key, "y", "t"], kind="stable")
     x = np.stack(found["x"].to_numpy()) if len(found) else np.zeros((0, len(FEATURES)))
-    return fit_trees(x, found["y"].to_numpy(float))
+    times = found["n"].to_numpy()
+    return fit_trees(np.repeat(x, times, axis=0), np.repeat(found["y"].to_numpy(float), times))
 
 
 def score_documents(docs: DataFrame, model: Ensemble, text: str = "text", key: str = "doc_id") -> DataFrame:
