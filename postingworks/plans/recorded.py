@@ -204,7 +204,8 @@ for _name, _char in _ENTITIES.items():
 @_query(rf"""SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace({_UNESCAPED}, '<script\b.*?</script>|<style\b.*?</style>|<!--.*?-->|<![^>]*>', '', 'gis'),
   '</?(?:p|li|br|html|head|title|body|nav|ul|div|article|h1|footer)\b[^>]*>', ' ', 'gis'), '</?[a-z][^>]*>', '', 'gis'), '[ \t\n\f\r]+', ' ', 'g')) AS text FROM pages""")
 def page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The SQL knows the tags and entities that the driver's pages have."""
+    """The SQL knows the tags and entities that the driver's pages have, but not entities that are cut before their `;`, as in
+    some titles: it leaves these in the text."""
     return table(spark, sf_dir, "pages").select("page_id", to_text(F.col("html")).alias("text"))
 
 

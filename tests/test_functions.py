@@ -53,6 +53,10 @@ def test_html(html, want):
     assert plain_text(html) == want
 
 
+def test_references_named_without_their_semicolon():
+    assert plain_text("<title>this&amp&amp;ver&amp</title><p>a&quot</p>") == 'this&&ver& a"'
+
+
 def test_tokens(one):
     assert one(tokens.tokenize, "Use .NET, C++ and node.js - ok.") == ["Use", "NET", "C++", "and", "node.js", "ok"]
     assert one(lambda c: tokens.contains_phrase(c, "CI/CD"), "our ci cd") is True
